@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from aislewise.llm.cooccurrence import cooccurrence
+from aislewise.llm.distinct import estimates, sketch, sparse_groups
 from aislewise.llm.encode import encode_corpus
 from aislewise.llm.leakage import leaked_items
 from aislewise.llm.splitting import split_oversized
@@ -18,6 +21,30 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_n(rows, "customer_id", "final_score", "product_id", 10).select("customer_id", "product_id", "place")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = cooccurrence(table(spark, sf_dir, "transactions", "customer_id", "date", "product_id"), ["customer_id", "date"], "product_id", min_share=0.006)
+    return pairs.where("together * baskets >= 3 * baskets_a * baskets_b").select(F.col("item_a").alias("product_a"), F.col("item_b").alias("product_b"))
+
+
+def p3_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs in at least 0.05% of all baskets, with their counts and lift."""
+    pairs = cooccurrence(table(spark, sf_dir, "transactions", "customer_id", "date", "product_id"), ["customer_id", "date"], "product_id", min_share=0.0005)
+    return pairs.withColumnsRenamed({"item_a": "product_a", "item_b": "product_b"})
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "transactions", "transaction_id", "customer_id", "date", "product_id")
+    return sparse_groups(rows, ["date", "product_id"], "transaction_id", "customer_id", 10, 6)
+
+
+def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Estimated customers and products per date, store, product and combination of these, with 95% intervals."""
+    rows = table(spark, sf_dir, "transactions", "customer_id", "date", "store_id", "product_id")
+    keys = ["date", "store_id", "product_id"]
+    sets = [[k for i, k in enumerate(keys) if bits >> i & 1] for bits in range(1, 8)]
+    return estimates(sketch(rows, sets, ["customer_id", "product_id"]))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -31,7 +58,17 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p7_ids, p8_found, p9_pieces)}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_lift, p4_found, p4_counts, p7_ids, p8_found, p9_pieces)}
+
+
+_PAIRS = """
+            WITH b AS (SELECT DISTINCT customer_id, date, product_id FROM transactions
+              WHERE customer_id IS NOT NULL AND date IS NOT NULL AND product_id IS NOT NULL),
+            n AS (SELECT count(*) AS n FROM (SELECT DISTINCT customer_id, date FROM b)),
+            i AS (SELECT product_id, count(*) AS c FROM b GROUP BY product_id),
+            h AS (SELECT b.* FROM b JOIN i USING (product_id), n WHERE c >= {share} * n),
+            p AS (SELECT x.product_id AS a, y.product_id AS b, count(*) AS t FROM h x JOIN h y
+              ON x.customer_id = y.customer_id AND x.date = y.date AND x.product_id < y.product_id GROUP BY 1, 2)"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -43,4 +80,19 @@ def oracle_sql() -> dict[str, str]:
             SELECT customer_id, product_id, CAST(place AS INTEGER) AS place FROM (
               SELECT customer_id, product_id, row_number() OVER (PARTITION BY customer_id ORDER BY s DESC, product_id) AS place FROM best)
             WHERE place <= 10""",
+        "p3_found": _PAIRS.format(share=0.006)
+        + """
+            SELECT p.a AS product_a, p.b AS product_b FROM p JOIN i x ON x.product_id = p.a JOIN i y ON y.product_id = p.b, n
+            WHERE t >= 0.006 * n AND t * n >= 3 * x.c * y.c""",
+        "p3_lift": _PAIRS.format(share=0.0005)
+        + """
+            SELECT p.a AS product_a, p.b AS product_b, t AS together, x.c AS baskets_a, y.c AS baskets_b, n AS baskets,
+              t * CAST(n AS DOUBLE) / (x.c * CAST(y.c AS DOUBLE)) AS lift
+            FROM p JOIN i x ON x.product_id = p.a JOIN i y ON y.product_id = p.b, n WHERE t >= 0.0005 * n""",
+        "p4_found": """
+            SELECT 'date' AS field, strftime(date, '%Y-%m-%d') AS group_key FROM transactions WHERE date IS NOT NULL GROUP BY date
+            HAVING count(DISTINCT transaction_id) >= 10 AND 6 * count(DISTINCT customer_id) < count(DISTINCT transaction_id)
+            UNION ALL
+            SELECT 'product_id', CAST(product_id AS VARCHAR) FROM transactions WHERE product_id IS NOT NULL GROUP BY product_id
+            HAVING count(DISTINCT transaction_id) >= 10 AND 6 * count(DISTINCT customer_id) < count(DISTINCT transaction_id)""",
     }

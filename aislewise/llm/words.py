@@ -16,8 +16,7 @@ _INVISIBLE = _invisible(0, 0x10000)
 _INVISIBLE_ASTRAL = (_invisible(0x10000, 0x20000), _invisible(0xE0000, 0xE1000))
 _ASTRAL = re.compile("[\U00010000-\U0010ffff]")
 _TAG = re.compile(r"<[!/]?[A-Za-z][^<>]*>|<!--.*?-->", re.S)
-_BROKEN = re.compile(r"(?<=[^\W\d_])[-‐‑][ \t]*(?:\r\n|\n|\r)[ \t>#*|/]*(?=[^\W\d_])")
-_HYPHEN = re.compile(r"(?<=[^\W_])[-‐‑](?=[^\W_])")
+_BROKEN = re.compile(r"[-‐‑](?<=[^\W\d_].)[ \t]*(?:\r\n|\n|\r)[ \t>#*|/]*(?=[^\W\d_])")
 _WORD = re.compile(r"[^\W_]+")
 
 
