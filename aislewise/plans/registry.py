@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aislewise.plans import analytics, large_tables
+from aislewise.plans import analytics, dashboards, large_tables, relational
 
 FLAGSHIP = "A1"
-_MODULES = (analytics, large_tables)
+_MODULES = (relational, analytics, dashboards, large_tables)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
