@@ -21,7 +21,12 @@ MAX_BUCKETS = 20_000
 
 @dataclass(frozen=True)
 class Events:
-    """What a table's columns mean. Deliveries of one event (same `once`) agree in entity, time and types."""
+    """What a table's columns mean; its other columns are not read.
+
+    Deliveries of one event (same `once`) agree in entity, time and types as far as these aren't NULL, and count once;
+    rows without `once` are events of their own. Rows without an entity are no events, NULL types are a type, NULL
+    amounts count as nothing. No type may be named like a column of the result.
+    """
 
     entity: str
     time: str  # a date
@@ -39,6 +44,8 @@ class FeatureStore:
     """Partial aggregates of one kind of events in one folder."""
 
     def __init__(self, spark: SparkSession, path: str, events: Events) -> None:
+        if {"entity", "bucket", "n", "total", "first", "last"} & set(events.types):
+            raise ValueError("a type has the name of a column of the result")
         self.spark, self.path, self.of = spark, path.rstrip("/"), events
 
     # ---- partial aggregates
@@ -50,7 +57,9 @@ class FeatureStore:
         narrow = rows.where(F.col(e.entity).isNotNull()).select(
             F.col(e.entity).alias("entity"), *(F.col(t).alias(t) for t in e.types), F.col(e.once).alias("__once"), F.col(e.time).alias("__time"), amount.alias("__amount")
         )
-        single = narrow.groupBy("entity", "__once").agg(*(F.max(t).alias(t) for t in e.types), F.max("__time").alias("__time"), F.max("__amount").alias("__amount"))
+        kept = ["entity", *e.types, "__time", "__amount"]
+        single = narrow.where("__once IS NOT NULL").groupBy("entity", "__once").agg(*(F.max(t).alias(t) for t in e.types), F.max("__time").alias("__time"), F.max("__amount").alias("__amount"))
+        single = single.select(*kept).unionByName(narrow.where("__once IS NULL").select(*kept))
         return single.groupBy("entity", *e.types).agg(
             F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("__amount"), F.lit(0)).alias("total"), F.min("__time").alias("first"), F.max("__time").alias("last")
         )

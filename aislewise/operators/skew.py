@@ -62,13 +62,14 @@ def exact_ranks(df: DataFrame, key: str, value: str, ranks: Column) -> DataFrame
         spans = active.select("k", "lo", "hi").distinct()
         part = F.least(F.lit(BINS - 1), F.floor((F.col("v") - F.col("lo")).cast("double") / (F.col("hi") - F.col("lo")).cast("double") * BINS)).cast("int")
         if left <= SENT_INTERVALS:
-            inside = rows.join(F.broadcast(spans), "k")
-        else:
+            inside = rows.withColumn("w", F.lit(1).cast("bigint")).join(F.broadcast(spans), "k")
+        else:  # equal values are added up before they move, the others of a key spread by value
             salted = spans.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-            inside = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(salted, ["k", "salt"])
+            weighted = rows.groupBy("k", "v").agg(F.count(F.lit(1)).alias("w")).withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+            inside = weighted.join(salted, ["k", "salt"])
         counts = (
             inside.where(F.col("v").between(F.col("lo"), F.col("hi"))).withColumn("bin", part)
-            .groupBy("k", F.col("lo").alias("of"), "bin").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("bl"), F.max("v").alias("bh"))
+            .groupBy("k", F.col("lo").alias("of"), "bin").agg(F.sum("w").alias("c"), F.min("v").alias("bl"), F.max("v").alias("bh"))
         )
         up_to = Window.partitionBy("k", "of").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         whole = counts.withColumn("cum", F.sum("c").over(up_to))
@@ -136,7 +137,7 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -
     A key with more rows than an even share of a partition is hot; there are at most 4 per shuffle partition, so their
     list may be broadcast. The rows of a hot key are spread over as many salts as it has such shares, and `right`'s rows
     of that key are repeated once per salt. Other keys have one salt. NULL keys match nothing: they leave an inner join
-    and stay, unmatched, in a left one. Columns of the same name other than the key come out twice, as in any join.
+    and stay, unmatched, in a left one. The salt is a hash of the row. Columns of the same name other than the key come out twice, as in any join.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
@@ -146,13 +147,15 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -
     total = left.count()
     share = max(1, -(-total // parts))
     hot = stage(counts.where(F.col("__n") > share).select("__k", F.ceil(F.col("__n") / share).cast("int").alias("__salts")), "hot")
-    salted_left = left.join(F.broadcast(hot), left[key] == hot["__k"], "left").withColumn(
-        "__salt", F.when(F.col("__salts").isNull(), 0).otherwise(F.pmod(F.monotonically_increasing_id(), F.col("__salts")).cast("int"))
+    content = [c for c, kind in left.dtypes if "map<" not in kind and "variant" not in kind]
+    spread = left.withColumn("__row", F.xxhash64(*content))  # the same in a task that runs again
+    salted_left = spread.join(F.broadcast(hot), spread[key] == hot["__k"], "left").withColumn(
+        "__salt", F.when(F.col("__salts").isNull(), 0).otherwise(F.pmod(F.col("__row"), F.col("__salts")).cast("int"))
     )
     other = right.join(F.broadcast(hot.withColumnRenamed("__k", "__k2")), right[key] == F.col("__k2"), "left").withColumn(
         "__salt2", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__salts"), F.lit(1)) - 1))
     )
-    a = salted_left.drop("__k", "__salts").alias("a")
+    a = salted_left.drop("__k", "__salts", "__row").alias("a")
     b = other.drop("__k2", "__salts").withColumnRenamed(key, "__key2").alias("b")
     joined = a.join(b, (F.col(f"a.{key}") == F.col("b.__key2")) & (F.col("a.__salt") == F.col("b.__salt2")), how)
     return joined.drop("__salt", "__salt2", "__key2")
