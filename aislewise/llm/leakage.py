@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from aislewise.llm.words import compounds_of, plain, words_of
 
@@ -32,7 +33,7 @@ PASSAGE, STEP = 160, 80
 BLOCK = 16
 NOTICE_WORDS = 12
 MIN_WORDS, ALTERED_IN = 22, 7
-MAX_INDEX_WORDS = 5_000_000
+MAX_INDEX_WORDS, MAX_ITEMS = 5_000_000, 100_000
 _CHUNK_CHARS = 1_000_000
 
 
@@ -286,10 +287,13 @@ def leaked_items(
 
     A document and an item come out once per row of the document. NULL, empty and blank texts and prompts have no case;
     repeated documents are reported each. Other columns are not read. The evaluation items are gathered into an index of
-    bounded size (an error beyond MAX_INDEX_WORDS words); documents stay where they are: no shuffle.
+    bounded size (an error beyond MAX_ITEMS items or MAX_INDEX_WORDS words); documents stay where they are: no shuffle.
     """
     spark = docs.sparkSession
-    rows = [(r[0], r[1]) for r in items.select(F.col(item_id), F.col(prompt)).where(F.col(item_id).isNotNull()).limit(MAX_INDEX_WORDS).collect()]
+    wanted = items.where(F.col(item_id).isNotNull()).select(F.col(item_id), F.col(prompt).cast("string"))
+    if wanted.count() > MAX_ITEMS:
+        raise ValueError("too many evaluation items for one index; search them in parts")
+    rows = [(r[0], r[1]) for r in wanted.collect()]
     shared = spark.sparkContext.broadcast(Index.build(rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,7 +312,7 @@ def leaked_items(
 
     narrow = docs.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text")).where(F.length("text") > 0)
     kinds = narrow.schema["doc"].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
-    item_type = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[kinds[1]]
+    item_type = to_arrow_type(items.schema[item_id].dataType)
     return narrow.mapInArrow(run, f"doc {kinds[0]}, item {kinds[1]}").withColumnsRenamed({"doc": doc_id, "item": item_id})
 
 

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from aislewise.llm.bpe import Encoder, Vocabulary, encoder_of
 from aislewise.llm.encode import default_vocabulary
@@ -213,12 +214,12 @@ def split_oversized(
     schema = f"id {kind}, limit_id {limit_kind}, piece int, start_char int, end_char int, n_tokens int, shared_tokens int, piece_text string"
     if not chosen:
         return spark.createDataFrame([], schema).withColumnRenamed("id", id_col)
-    least = min(m for _, m, _ in chosen)
+    least, limit_type = min(m for _, m, _ in chosen), to_arrow_type(limits.schema["limit_id"].dataType)
     shared = spark.sparkContext.broadcast(Vocabulary.load(vocabulary_path or default_vocabulary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = Splitter(shared.value, chosen)
-        names = pa.array([x for x, _, _ in chosen], {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[limit_kind])
+        names = pa.array([x for x, _, _ in chosen], limit_type)
         for batch in batches:
             texts, at = batch.column(1).to_pylist(), 0
             while at < len(texts):
