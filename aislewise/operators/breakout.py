@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from aislewise.functions.scalar import dot
 from aislewise.operators.vectors import mean_vectors, normalised, top_k_cosine
+from aislewise.staging import stage
 
 
 def lookalikes(vectors: DataFrame, tiers: DataFrame, products: DataFrame, weights: tuple[float, ...] = (0.2, 0.2, 0.2, 0.2)) -> DataFrame:
@@ -15,7 +16,8 @@ def lookalikes(vectors: DataFrame, tiers: DataFrame, products: DataFrame, weight
     `vectors` has (product_id, vector). Products without a vector have no row; the nearest one is found by a blocked
     search, ties going to the smaller id.
     """
-    known = vectors.join(tiers.select("product_id", "tier"), "product_id")
+    tiers = stage(tiers.select("product_id", "tier"), "tiers")  # catalogue-sized, read several times
+    known = vectors.join(tiers, "product_id")
     top = known.where("tier = 1").select("product_id", "vector")
     tail = known.where("tier = 4").select("product_id", "vector")
     centroid = mean_vectors(top, None, "vector", at_unit_length=True).select(F.col("vector").alias("centroid"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from aislewise.functions.scalar import bucket, margin, money_sum, ratio, share_sum
 from aislewise.operators.skew import exact_ranks
+from aislewise.staging import stage
 
 
 def redeemed_rows(column: str = "redeemed") -> Column:
@@ -66,7 +67,8 @@ def large_quantiles(df: DataFrame, value: str, probabilities: Mapping[str, float
     """One row of exact continuous percentiles of a column of any size: the two ranks around each are found by exact_ranks."""
     at = {name: (F.col("n") - 1) * F.lit(p) for name, p in probabilities.items()}
     wanted = F.array_distinct(F.array(*(x.cast("bigint") for p in at.values() for x in (F.floor(p) + 1, F.ceil(p) + 1))))
-    ranked = exact_ranks(df.select(F.lit(1).alias("__all"), F.col(value).alias("__v")), "__all", "__v", wanted)
+    values = stage(df.select(F.lit(1).alias("__all"), F.col(value).alias("__v")), "values")  # read once per round
+    ranked = exact_ranks(values, "__all", "__v", wanted)
     low = {name: F.max(F.when(F.col("rank") == F.floor(p) + 1, F.col("__v"))) for name, p in at.items()}
     high = {name: F.max(F.when(F.col("rank") == F.ceil(p) + 1, F.col("__v"))) for name, p in at.items()}
     return ranked.groupBy("n").agg(*((low[k] + (high[k] - low[k]) * (p - F.floor(p))).alias(k) for k, p in ((k, F.first(v)) for k, v in at.items()))).drop("n")

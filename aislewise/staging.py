@@ -44,6 +44,15 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` in at least as many partitions as there are cores, for work that costs far more than moving the rows.
+
+    Only a source of a few files is moved at all; rows and columns stay the same.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a path through Hadoop's file system, whatever scheme it has."""
     jvm = spark.sparkContext._jvm
