@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from aislewise.llm.words import compounds_of, plain, words_of
+from aislewise.staging import spread
 
 K1, B = 1.2, 0.75
 #: Words of a passage and of the step to the next one: a question of up to STEP words with its alterations lies in one.
@@ -149,16 +150,17 @@ class Index:
 
     @staticmethod
     def _threshold(key: list[int], weight: dict[int, float]) -> float | None:
-        """The least score of a case of this item, or None where it can't have one."""
-        n, least = len(key) + 2, None
+        """The least score of a case of this item, or None where it can't have one.
+
+        A trigram that stands twice in a question counts once in a score, so at its second place it weighs nothing.
+        """
+        n, least, seen = len(key) + 2, None, set()
+        own = np.array([0.0 if k in seen or seen.add(k) else weight[k] for k in key])
         for words in range(MIN_WORDS, n + 1):
-            for at in range(n - words + 1):
-                inside = key[at : at + words - 2]
-                own = sorted(weight[k] for k in set(inside))
-                left = words - 2 - 3 * (words // ALTERED_IN) - (len(inside) - len(own))
-                score = sum(own[: max(1, left)])
-                least = score if least is None else min(least, score)
-        return least
+            spans = np.sort(np.lib.stride_tricks.sliding_window_view(own, words - 2), axis=1)
+            score = float(spans[:, : max(1, words - 2 - 3 * (words // ALTERED_IN))].sum(axis=1).min())
+            least = score if least is None else min(least, score)
+        return least if least is None else max(least, 1e-6)
 
     # ---- search
 
@@ -313,7 +315,7 @@ def leaked_items(
     narrow = docs.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text")).where(F.length("text") > 0)
     kinds = narrow.schema["doc"].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     item_type = to_arrow_type(items.schema[item_id].dataType)
-    return narrow.mapInArrow(run, f"doc {kinds[0]}, item {kinds[1]}").withColumnsRenamed({"doc": doc_id, "item": item_id})
+    return spread(narrow).mapInArrow(run, f"doc {kinds[0]}, item {kinds[1]}").withColumnsRenamed({"doc": doc_id, "item": item_id})
 
 
 __all__ = ["Index", "aligned", "leaked_items", "plain", "question_words"]
