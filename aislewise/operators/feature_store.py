@@ -1,6 +1,6 @@
 """Features per entity from partial aggregates that persist by entity, type and time bucket.
 
-A store is a folder: one Parquet folder per bucket and version, and a manifest that names the version of each bucket with
+A store is a folder: one Parquet folder per bucket and version, and a JSON manifest that names the version of each bucket with
 a fingerprint of the events it was made from. An update fingerprints the buckets of the events given, recomputes those
 whose fingerprint has changed and writes a new manifest; the others stay as they are. Features merge the buckets that a
 period covers wholly and aggregate the events themselves only in the buckets at its ends.
@@ -8,10 +8,12 @@ period covers wholly and aggregate the events themselves only in the buckets at
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from py4j.java_gateway import JavaObject
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,19 +78,39 @@ class FeatureStore:
 
     # ---- the folder
 
+    def _files(self) -> tuple[JavaObject, JavaObject]:
+        """Hadoop's file system of the folder, and the folder of manifests."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest")
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+    def _manifests(self) -> list[str]:
+        files, at = self._files()
+        return sorted(s.getPath().getName() for s in files.listStatus(at) if s.getPath().getName().endswith(".json")) if files.exists(at) else []
+
     def manifest(self) -> dict[str, tuple[int, int, str]]:
-        """Rows, hash and folder of each bucket."""
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest")
-        files = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not files.exists(at):
+        """Rows, hash and folder of each bucket, from the newest manifest."""
+        names = self._manifests()
+        if not names:
             return {}
-        names = sorted(s.getPath().getName() for s in files.listStatus(at))
-        whole = [n for n in names if files.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest/{n}/_SUCCESS"))]
-        if not whole:
-            return {}
-        rows = self.spark.read.parquet(f"{self.path}/manifest/{whole[-1]}").collect()
-        return {r["bucket"]: (r["n"], int(r["hash"]), r["folder"]) for r in rows}
+        files, at = self._files()
+        stream = files.open(self.spark._jvm.org.apache.hadoop.fs.Path(at, names[-1]))
+        try:
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return {b: (n, h, folder) for b, (n, h, folder) in json.loads(text).items()}
+
+    def _write_manifest(self, entries: dict[str, tuple[int, int, str]]) -> None:
+        """Write under another name, then rename: a reader sees a whole manifest or none."""
+        files, at = self._files()
+        names, path = self._manifests(), self.spark._jvm.org.apache.hadoop.fs.Path
+        number = int(names[-1].split(".")[0]) + 1 if names else 0
+        part = path(at, f"{number:010d}.part")
+        out = files.create(part, True)
+        out.write(bytearray(json.dumps(entries).encode()))
+        out.close()
+        if not files.rename(part, path(at, f"{number:010d}.json")):
+            raise OSError("another update wrote this store's manifest at the same time")
 
     def update(self, rows: DataFrame) -> list[str]:
         """Bring the store up to all events given; the buckets that were recomputed, in order.
@@ -107,15 +129,9 @@ class FeatureStore:
             # types stay inside the bucket: partial aggregates are keyed by it
             keyed = FeatureStore(self.spark, self.path, Events(self.of.entity, self.of.time, self.of.once, [*self.of.types, "__bucket"], self.of.amount))
             keyed._partials(inside.withColumn("__bucket", bucket)).withColumnRenamed("__bucket", "bucket").write.partitionBy("bucket").option("compression", "zstd").parquet(f"{self.path}/{folder}")
-        entries = [(b, n, str(h), f"{folder}/bucket={b}" if b in changed else old[b][2]) for b, (n, h) in sorted(new.items())]
-        number = f"{len(old) and int(self._last_manifest()) + 1:010d}"
-        self.spark.createDataFrame(entries, "bucket string, n bigint, hash string, folder string").coalesce(1).write.parquet(f"{self.path}/manifest/{number}")
+        self._write_manifest({b: (n, h, f"{folder}/bucket={b}" if b in changed else old[b][2]) for b, (n, h) in sorted(new.items())})
         return changed
 
-    def _last_manifest(self) -> str:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest")
-        return max(s.getPath().getName() for s in at.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(at))
-
     # ---- features
 
     def merged(self, rows: DataFrame | None = None, since: str | None = None, until: str | None = None) -> DataFrame:
