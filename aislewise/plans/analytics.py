@@ -269,9 +269,9 @@ BOOK.queries["L4"], BOOK.sql["L4"] = BOOK.queries["V4"], BOOK.sql["V4"]
 BOOK.queries["L5"], BOOK.sql["L5"] = BOOK.queries["V3"], BOOK.sql["V3"]
 BOOK.queries["R19"], BOOK.sql["R19"] = BOOK.queries["V4"], BOOK.sql["V4"]
 both("V5", "SELECT count(*) AS n, min(cardinality(embedding)) AS dims, max(cardinality(embedding)) AS most FROM {embeddings}")
-BOOK.sql["V5"] = "SELECT count(*) AS n, min(len(embedding)) AS dims, max(len(embedding)) AS most FROM embeddings"
+BOOK.sql["V5"] = "SELECT count(*) AS n, CAST(min(len(embedding)) AS INTEGER) AS dims, CAST(max(len(embedding)) AS INTEGER) AS most FROM embeddings"
 add("R17", lambda t: rounded(vectors.demand_ranking(vectors.affinity(vectors_of(t, "customers"), vectors_of(t, "products"), "vec_id", "embedding", 0.3), pf(t)).where("price > 0"), "average", "demand", "score", digits=5).select("product_id", "average", "above", "demand", "score"),
-    f"WITH {PF}, a AS (SELECT b.vec_id AS product_id, count(*) FILTER ({DOT} > 0.3) AS above, avg({DOT}) AS average FROM embeddings a, embeddings b WHERE a.vec_id % 2 = 0 AND b.vec_id % 2 = 1 GROUP BY 1) SELECT product_id, round(average, 5) AS average, above, round(average * buyers, 5) AS demand, round(average * buyers * (margin * price), 5) AS score FROM a JOIN pf USING (product_id) WHERE price > 0")
+    f"WITH {PF}, a AS (SELECT b.vec_id AS product_id, count(*) FILTER ({DOT} > 0.3) AS above, avg({DOT}) AS average FROM embeddings a, embeddings b WHERE a.vec_id % 2 = 0 AND b.vec_id % 2 = 1 GROUP BY 1) SELECT CAST(product_id AS INTEGER) AS product_id, round(average, 5) AS average, above, round(average * buyers, 5) AS demand, round(average * buyers * (margin * price), 5) AS score FROM a JOIN pf USING (product_id) WHERE price > 0")
 BOOK.sql["R17"] = BOOK.sql["R17"].replace("average * buyers * (margin * price)", "average * buyers * margin * price")
 
 # ---- ranking

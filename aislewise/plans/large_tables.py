@@ -142,12 +142,12 @@ _DAILY = """WITH t AS (SELECT DISTINCT transaction_id, customer_id, date, coales
               FROM s LEFT JOIN a ON a.customer_id = s.customer_id AND a.date = s.day)"""
 _FEATURES = (
     """WITH p AS (SELECT CAST(customer_id AS BIGINT) AS customer_id, """ + _NUMBER.format("loyalty_number") + """ AS number FROM customers),
-            t AS (SELECT customer_id, count(*) AS purchases, sum(coalesce(c, 0)) AS spent_cents, date_diff('day', max(date), DATE '{day}') AS dp FROM
+            t AS (SELECT customer_id, count(*) AS purchases, CAST(sum(coalesce(c, 0)) AS BIGINT) AS spent_cents, CAST(date_diff('day', max(date), DATE '{day}') AS INTEGER) AS dp FROM
               (SELECT DISTINCT transaction_id, customer_id, date, CAST(round(total * 100) AS BIGINT) AS c FROM transactions WHERE {tx}) GROUP BY 1),
             k AS (SELECT """.replace("{day}", "{day}") + _NUMBER.format("loyalty_number").replace("{1,10}", "{{1,10}}") + """ AS number, clip_id, max(clip_date) AS d, max(lower(trim(discount_type))) AS dt,
               max(coalesce(replace(lower(trim(category)), ' and ', ' & '), 'none')) AS cat, max(coalesce(redeemed, false)) AS red
               FROM coupon_clips LEFT JOIN products USING (product_id) WHERE {clip} GROUP BY 1, 2),
-            c AS (SELECT number, count(*) AS clips, count(*) FILTER (red) AS redeemed, date_diff('day', max(d), DATE '{day}') AS dc"""
+            c AS (SELECT number, count(*) AS clips, count(*) FILTER (red) AS redeemed, CAST(date_diff('day', max(d), DATE '{day}') AS INTEGER) AS dc"""
     + "".join(f", count(*) FILTER (dt = '{d}') AS clips_{d}" for d in DISCOUNTS)
     + "".join(f", count(*) FILTER (cat = '{k}') AS clips_{_name(k)}, count(*) FILTER (red AND cat = '{k}') AS redeemed_{_name(k)}" for k in CATEGORIES)
     + """ FROM k WHERE number IS NOT NULL GROUP BY 1)

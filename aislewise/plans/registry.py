@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aislewise.plans import analytics, dashboards, large_tables, relational
+from aislewise.plans import analytics, dashboards, large_tables, models, relational
 
 FLAGSHIP = "A1"
-_MODULES = (relational, analytics, dashboards, large_tables)
+_MODULES = (relational, analytics, dashboards, models, large_tables)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -145,3 +145,35 @@ def test_streams(spark):
     assert got and got <= {tuple(r) for r in batch.collect()}
     assert run_available(first_deliveries(stream, "event_id", "ts", "30 days"), f"{path}/out2", f"{path}/c2").count() == 400
     assert sessions(rows, "who", "ts", "4 hours", "1 day").count() == 3
+
+
+def test_encoders(spark):
+    from aislewise.operators import towers
+
+    layers = [(np.array([[1.0, -1.0], [0.5, 2.0]]), np.array([0.0, 0.1])), (np.eye(2), np.zeros(2))]
+    df = spark.createDataFrame([(1, 2.0, 1.0), (2, None, -3.0), (3, -1.0, 0.0)], "id int, a double, b double")
+    got = {r["id"]: list(r["vector"]) for r in towers.encode_rows(df, "id", ["a", "b"], layers).collect()}
+    x = np.maximum(np.array([[2.0, 1.0], [0, -3.0], [-1.0, 0]]) @ layers[0][0] + layers[0][1], 0)
+    length = np.linalg.norm(x, axis=1, keepdims=True)
+    expect = x / np.where(length > 0, length, 1)
+    assert np.allclose([got[1], got[2], got[3]], expect, atol=1e-6)
+
+
+def test_replications(spark):
+    from aislewise.operators import replications
+
+    offers = spark.createDataFrame([(c, s) for c in range(2000) for s in (1, 2)], "customer_id int, slot int")
+    one = replications.responses(offers, 2, 3, 7, F.lit(0.3), F.lit(0.5))
+    got = sorted(map(tuple, one.collect()))
+    assert len(got) == 6 and len({r[2] for r in got}) > 1
+    assert all(abs(r[2] / 2000 - 0.3) < 0.05 and abs(r[5] - 0.5) < 0.06 and r[3] == 2 * r[2] for r in got)
+    assert sorted(map(tuple, replications.responses(offers.repartition(7), 2, 3, 7, F.lit(0.3), F.lit(0.5)).collect())) == got
+
+
+def test_pages(spark):
+    from aislewise.sources.pages import store_pages
+
+    good = '<script type="application/ld+json">{"name": " A ", "telephone": "1", "address": {"streetAddress": "1 OAK st", "addressLocality": "x", "addressRegion": "ny", "postalCode": "123-4"}, "geo": {"latitude": "1.5", "longitude": "2"}}</script>'
+    rows = [(1, good), (2, good.replace('"geo"', '"no"')), (3, '<meta name="geo.position" content="3;4">' + good.replace('"geo"', '"no"')), (4, good.replace("{", "", 1)), (5, None), (6, ""), (7, good.replace("streetAddress", "s"))]
+    got = {r["id"]: r for r in store_pages(spark.createDataFrame(rows, "id int, html string"), "id", "html").collect()}
+    assert set(got) == {1, 3} and (got[1]["address"], got[1]["zip_code"], got[1]["state"], got[3]["latitude"]) == ("1 Oak St", "00123", "NY", 3.0)
