@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aislewise.llm.bpe import Vocabulary, encoder_of
+from aislewise.staging import spread
 
 #: Rows handled at a time, so that a batch of long texts stays small.
 _ROWS = 512
@@ -26,7 +27,7 @@ def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     One row comes out for each row that goes in, repeated ids included. NULL and empty texts have an empty list; their
     rows stay. Strings of special tokens are ordinary text. Other columns are neither read nor returned. Texts are
-    processed whole, without a shuffle; the broadcast is the vocabulary (4 MB for 50,000 tokens, whatever the corpus).
+    processed whole, without a shuffle (unless the source has fewer files than there are cores); the broadcast is the vocabulary (4 MB for 50,000 tokens, whatever the corpus).
     """
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(Vocabulary.load(vocabulary_path or default_vocabulary()))
@@ -42,4 +43,4 @@ def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     narrow = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return spread(narrow).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)

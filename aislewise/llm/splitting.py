@@ -20,6 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from aislewise.llm.bpe import Encoder, Vocabulary, encoder_of
 from aislewise.llm.encode import default_vocabulary
+from aislewise.staging import spread
 
 #: Units in the block on either side of a gap, and buckets that words are hashed into.
 SIDE, BUCKETS = 4, 128
@@ -200,7 +201,8 @@ def split_oversized(
     most max_tokens, where a piece begins overlap_tokens before the end of the one before it (a token or two earlier
     where that would cut a character; shared_tokens says how many). NULL, empty and shorter texts have no pieces.
     Repeated rows are split each. Limits with NULL or less than 1 token are left out; an overlap that is NULL or
-    negative counts as 0, one of half the limit or more as just under half. Other columns are not read. Nothing is shuffled; what is
+    negative counts as 0, one of half the limit or more as just under half. Other columns are not read. Nothing is shuffled unless
+    the source has fewer files than there are cores; what is
     broadcast is the vocabulary and the limits (at most MAX_LIMITS rows, else an error).
     """
     spark = docs.sparkSession
@@ -239,4 +241,4 @@ def split_oversized(
                 at = to
 
     # a token has at least one byte, so shorter texts need not be encoded
-    return narrow.where(F.octet_length("text") > least).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return spread(narrow.where(F.octet_length("text") > least)).mapInArrow(run, schema).withColumnRenamed("id", id_col)
