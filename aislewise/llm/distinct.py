@@ -84,7 +84,8 @@ def partial_sketches(df: DataFrame, groupings: Sequence[Sequence[str]], items: S
 
     `groupings` are grouping sets over columns of `df`; `keys` are all columns in them, NULL where a grouping leaves one
     out; `grouping` and `item` are names (columns joined by '+'). NULL in a column of a grouping is no group and a NULL
-    item is no value. The rows may be written, and later united with those of other data and merged again.
+    item is no value. Repeated rows and ties change nothing, an empty table has no groups, other columns are not read. The
+    rows may be written, and later united with those of other data and merged again.
     """
     if registers < 3 or any(registers % d == 0 for d in range(2, int(registers**0.5) + 1)):
         raise ValueError("registers must be a prime of 3 or more")
@@ -230,8 +231,9 @@ def estimates(sketches: DataFrame, confidence: float = 0.95) -> DataFrame:
 def sparse_groups(df: DataFrame, keys: Sequence[str], items: str, of: str, least: int, factor: int) -> DataFrame:
     """(grouping, *keys): groups with at least `least` distinct `items` and fewer than a `factor`th of that many distinct `of`.
 
-    Sketches choose the groups whose intervals (six standard deviations) leave it open or settle it, and the chosen ones
-    are counted exactly: by pairs of group and value, so that a large group spreads over all tasks.
+    NULL is neither a group nor a value; a group without any `of` has none of it and qualifies. Sketches choose the groups
+    whose intervals (six standard deviations) leave it open or settle it, and the chosen ones are counted exactly: by
+    pairs of group and value, so that a large group spreads over all tasks.
     """
     wide = 1 - 2e-9
     seen = estimates(sketch(df, [[k] for k in keys], [items, of]), wide)
