@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from aislewise.staging import stage
+
 #: A prime; relative error of the count 1 / sqrt(m - 2) = 6.3%.
 REGISTERS = 251
 _BUFFER_ROWS = 400_000
@@ -229,7 +231,7 @@ def estimates(sketches: DataFrame, confidence: float = 0.95) -> DataFrame:
 
 
 def sparse_groups(df: DataFrame, keys: Sequence[str], items: str, of: str, least: int, factor: int) -> DataFrame:
-    """(grouping, *keys): groups with at least `least` distinct `items` and fewer than a `factor`th of that many distinct `of`.
+    """(field, group_key): groups, by column and value, with at least `least` distinct `items` and fewer than a `factor`th of that many distinct `of`.
 
     NULL is neither a group nor a value; a group without any `of` has none of it and qualifies. Sketches choose the groups
     whose intervals (six standard deviations) leave it open or settle it, and the chosen ones are counted exactly: by
@@ -238,19 +240,20 @@ def sparse_groups(df: DataFrame, keys: Sequence[str], items: str, of: str, least
     wide = 1 - 2e-9
     seen = estimates(sketch(df, [[k] for k in keys], [items, of]), wide)
     by = ["grouping", *keys]
-    chosen = (
+    chosen = stage(
         seen.groupBy(*by)
         .agg(F.max(F.when(F.col("item") == items, F.col("high"))).alias("__n"), F.coalesce(F.max(F.when(F.col("item") == of, F.col("low"))), F.lit(0.0)).alias("__d"))
-        .where((F.col("__n") >= least) & (F.col("__d") * factor < F.col("__n")))
+        .where((F.col("__n") >= least) & (F.col("__d") * factor < F.col("__n"))),
+        "groups",
     )
     found = None
     for key in keys:
         own = chosen.where(F.col("grouping") == key).select(F.col(key).alias("__key"))
-        rows = df.select(F.col(key).alias("__key"), F.col(items).alias("__x"), F.col(of).alias("__y")).join(own, "__key", "left_semi")
-        pairs = rows.select("__key", F.explode(F.array(F.struct(F.lit(0).alias("w"), F.xxhash64("__x").alias("v"), F.col("__x").cast("string").alias("s")), F.struct(F.lit(1).alias("w"), F.xxhash64("__y").alias("v"), F.col("__y").cast("string").alias("s")))).alias("p"))
+        rows = df.select(F.col(key).alias("__key"), F.col(items).cast("string").alias("__x"), F.col(of).cast("string").alias("__y")).join(own, "__key", "left_semi")
+        values = F.explode(F.array(F.struct(F.lit(0).alias("w"), F.col("__x").alias("s")), F.struct(F.lit(1).alias("w"), F.col("__y").alias("s")))).alias("p")
+        pairs = rows.select("__key", values).select("__key", "p.w", "p.s").where("s IS NOT NULL").distinct()
         counts = (
-            pairs.where("p.s IS NOT NULL").groupBy("__key", "p.w", "p.s").agg(F.lit(1).alias("one"))
-            .groupBy("__key").agg(F.sum(F.when(F.col("w") == 0, 1)).alias("n"), F.coalesce(F.sum(F.when(F.col("w") == 1, 1)), F.lit(0)).alias("d"))
+            pairs.groupBy("__key").agg(F.sum(F.when(F.col("w") == 0, 1)).alias("n"), F.coalesce(F.sum(F.when(F.col("w") == 1, 1)), F.lit(0)).alias("d"))
             .where((F.col("n") >= least) & (F.col("d") * factor < F.col("n")))
         )
         part = counts.select(F.lit(key).alias("field"), F.col("__key").cast("string").alias("group_key"))
