@@ -97,13 +97,13 @@ def cut_points(ends: np.ndarray, unit: np.ndarray, depth: np.ndarray, most: int,
     while total - begin > most:
         limit = begin + most
         low = max(done, begin + most // 2)
-        a, b = np.searchsorted(gaps, [low, limit], side="right")
+        a, b = gaps.searchsorted((low, limit), "right").tolist()
         if b > a:
             best = depth[a:b]
-            cut = int(gaps[a + len(best) - 1 - int(np.argmax(best[::-1]))])
+            cut = int(gaps[b - 1 - int(best[::-1].argmax())])
         else:
-            a = int(np.searchsorted(gaps, max(done, begin + overlap), side="right"))
-            at = int(np.searchsorted(ends, limit, side="right")) - 1
+            a = int(gaps.searchsorted(max(done, begin + overlap), "right"))
+            at = int(ends.searchsorted(limit, "right")) - 1
             if b > a:
                 cut = int(gaps[b - 1])
             elif at >= 0 and ends[at] > max(done, begin + overlap):
@@ -130,13 +130,14 @@ class Splitter:
         if key not in _known:
             _known[key] = _Words(self.encoder)
         self.words = _known[key]
-        # bytes 0x80 to 0xBF continue a character
-        first = np.full(len(vocabulary.size), -1, np.int64)
-        byte_of = {int(t): b for b, t in enumerate(vocabulary.byte_id)}
-        left = vocabulary.left
-        for t in range(len(first)):
-            first[t] = byte_of[t] if t in byte_of else (first[left[t]] if left[t] >= 0 else 0)
-        self.inside = (first >= 0x80) & (first < 0xC0)
+        # bytes 0x80 to 0xBF continue a character: the first byte of each token, and the characters that begin in it
+        byte = np.full(len(vocabulary.size), 0, np.int64)
+        byte[vocabulary.byte_id] = np.arange(256)
+        first, lead = byte.copy(), ((byte < 0x80) | (byte >= 0xC0)).astype(np.int64)
+        for t in np.flatnonzero(vocabulary.left >= 0).tolist():  # parts come before what they are merged into
+            a, b = vocabulary.left[t], vocabulary.right[t]
+            first[t], lead[t] = first[a], lead[a] + lead[b]
+        self.inside, self.lead = (first >= 0x80) & (first < 0xC0), lead
 
     def split(self, texts: Sequence[str]) -> Iterator[tuple[int, int, int, int, int, int, int]]:
         """(text, limit, piece from 1, first character, end character, tokens, tokens shared with the piece before)."""
@@ -148,8 +149,8 @@ class Splitter:
         totals = np.diff(np.append(0, np.cumsum(e.count[codes]))[bounds])
         for i in np.flatnonzero(totals > least).tolist():
             own = codes[bounds[i] : bounds[i + 1]]
-            ends, chars = np.cumsum(e.count[own]), np.append(0, np.cumsum(w.chars[own]))
-            tokens = e.tokens_of(own)
+            ends, tokens = np.cumsum(e.count[own]), e.tokens_of(own)
+            chars = np.append(0, np.cumsum(self.lead[tokens]))  # characters before each token position
             place = np.arange(len(tokens) + 1)
             starts_char = np.append(~self.inside[tokens], True)
             between = np.maximum.accumulate(np.where(starts_char, place, 0))
@@ -170,27 +171,9 @@ class Splitter:
                     continue
                 before = 0
                 for number, (a, b) in enumerate(cut_points(ends, unit, depth, most, overlap, between), 1):
-                    yield i, k, number, self._char(own, ends, chars, tokens, a), self._char(own, ends, chars, tokens, b), b - a, max(0, before - a)
+                    yield i, k, number, chars[a], chars[b], b - a, max(0, before - a)
                     before = b
 
-    def _char(self, own: np.ndarray, ends: np.ndarray, chars: np.ndarray, tokens: np.ndarray, at: int) -> int:
-        """Characters before token position `at`."""
-        k = int(np.searchsorted(ends, at, side="right"))
-        begin = int(ends[k - 1]) if k else 0
-        if at == begin:
-            return int(chars[k])
-        return int(chars[k]) + self._chars_of(tokens[begin:at])
-
-    def _chars_of(self, tokens: np.ndarray) -> int:
-        v = self.encoder.v
-        if not hasattr(self, "_lead"):  # characters that begin in each token
-            byte_of = {int(t): b for b, t in enumerate(v.byte_id)}
-            lead = np.zeros(len(v.size), np.int64)
-            for t in range(len(lead)):
-                lead[t] = not 0x80 <= byte_of[t] < 0xC0 if t in byte_of else (lead[v.left[t]] + lead[v.right[t]] if v.left[t] >= 0 else 0)
-            self._lead = lead
-        return int(self._lead[tokens].sum())
-
 
 def split_oversized(
     docs: DataFrame, limits: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary_path: str | None = None
