@@ -9,8 +9,11 @@ from aislewise.functions.scalar import dot
 from aislewise.operators.vectors import mean_vectors, normalised, top_k_cosine
 from aislewise.staging import stage
 
+#: Weights of cosine, category, price and brand in the score.
+WEIGHTS = (0.2, 0.2, 0.2, 0.2)
 
-def lookalikes(vectors: DataFrame, tiers: DataFrame, products: DataFrame, weights: tuple[float, ...] = (0.2, 0.2, 0.2, 0.2)) -> DataFrame:
+
+def lookalikes(vectors: DataFrame, tiers: DataFrame, products: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """Tier-4 products with their cosine to the centroid of tier 1, the nearest tier-1 product, price ratio, shared category and brand, and a weighted score.
 
     `vectors` has (product_id, vector). Products without a vector have no row; the nearest one is found by a blocked

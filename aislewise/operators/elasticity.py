@@ -12,17 +12,21 @@ from pyspark.sql import types as T
 
 from aislewise.functions.scalar import clip, ratio
 
+#: An offer of two for one, the cap on money off as a share of the price, the least rate whose logarithm is
+#: taken, the largest discount, the organic share above which discounts are scaled down, and the sensitivity's terms.
+TWO_FOR_ONE, MONEY_CAP, LEAST_RATE, MOST_DISCOUNT, MOSTLY_ORGANIC, ORGANIC_BASE, WEAK_RESPONSE = 0.5, 0.6, 1e-6, 0.5, 0.5, 0.3, 0.1
+
 
 def capped_discount(kind: str, value: str, price: str, cap: float, other: float) -> Column:
     """An offer as a fraction of the price, capped; two for one is a half; unknown kinds count as `other`."""
     share = F.col(value) / F.nullif(F.col(price), F.lit(0.0))
-    return F.when(F.col(kind) == "percent_off", F.least(F.col(value), F.lit(cap))).when(F.col(kind) == "bogo", 0.5).when(F.col(kind) == "dollar_off", F.least(share, F.lit(cap))).otherwise(other)
+    return F.when(F.col(kind) == "percent_off", F.least(F.col(value), F.lit(cap))).when(F.col(kind) == "bogo", TWO_FOR_ONE).when(F.col(kind) == "dollar_off", F.least(share, F.lit(cap))).otherwise(other)
 
 
-def effective_discount(kind: str, value: str, price: str, cap: float = 0.6) -> Column:
+def effective_discount(kind: str, value: str, price: str, cap: float = MONEY_CAP) -> Column:
     """The same for the response curve: percentages as they stand, unknown kinds too."""
     share = F.col(value) / F.nullif(F.col(price), F.lit(0.0))
-    return F.when(F.col(kind) == "dollar_off", F.least(share, F.lit(cap))).when(F.col(kind) == "bogo", 0.5).otherwise(F.col(value))
+    return F.when(F.col(kind) == "dollar_off", F.least(share, F.lit(cap))).when(F.col(kind) == "bogo", TWO_FOR_ONE).otherwise(F.col(value))
 
 
 def response_levels(clips: DataFrame, products: DataFrame) -> DataFrame:
@@ -92,7 +96,7 @@ def response_points(levels: DataFrame, keys: Sequence[str], least_clips: int, le
     """(keys, level, clips, rate, log_rate): levels with enough clips and any redemption, of keys with enough clips in all."""
     summed = levels.groupBy(*keys, "level").agg(F.sum("clips").alias("clips"), F.sum("redeemed").alias("redeemed"))
     rate = ratio(F.col("redeemed"), F.col("clips"))
-    points = summed.where((F.col("clips") >= least_clips) & (F.col("redeemed") > 0) & F.col("level").isNotNull()).select(*keys, "level", "clips", rate.alias("rate"), F.ln(F.greatest(rate, F.lit(1e-6))).alias("log_rate"))
+    points = summed.where((F.col("clips") >= least_clips) & (F.col("redeemed") > 0) & F.col("level").isNotNull()).select(*keys, "level", "clips", rate.alias("rate"), F.ln(F.greatest(rate, F.lit(LEAST_RATE))).alias("log_rate"))
     if least_total:
         enough = levels.groupBy(*keys).agg(F.sum("clips").alias("t")).where(F.col("t") >= least_total).select(*keys)
         points = points.join(enough, list(keys), "left_semi")
@@ -107,13 +111,13 @@ def with_fallback(products: DataFrame, by_product: DataFrame, by_category: DataF
     return products.select("product_id", "category").join(own, "product_id", "left").join(other, "category", "left").select("product_id", "category", F.coalesce("b1", "b2", F.lit(0.0)).alias("beta"), source.alias("source"))
 
 
-def best_discount(beta: Column, organic: Column, most: float = 0.5) -> Column:
+def best_discount(beta: Column, organic: Column, most: float = MOST_DISCOUNT) -> Column:
     """The discount that maximises (1 - d) exp(beta d) on [0, most], scaled down where more than half of the sales are organic.
 
     The derivative has the sign of beta - 1 - beta d: the optimum is 1 - 1 / beta above 1 and 0 at 1 or below.
     """
     found = F.when(beta > 1, clip(1 - 1 / F.nullif(beta, F.lit(0.0)), 0.0, most)).otherwise(0.0)
-    return F.when(organic > 0.5, found * 2 * (1 - organic)).otherwise(found)
+    return F.when(organic > MOSTLY_ORGANIC, found * 2 * (1 - organic)).otherwise(found)
 
 
 def revenue_at(price: Column, units: Column, beta: Column, discount: Column) -> Column:
@@ -121,4 +125,4 @@ def revenue_at(price: Column, units: Column, beta: Column, discount: Column) ->
 
 
 def sensitivity(beta: Column, organic: Column) -> Column:
-    return F.when(organic > 0.5, -(organic - 0.3) * (1 + F.abs(beta))).when(beta > 0, beta * (1 - organic)).otherwise(0.1 * beta)
+    return F.when(organic > MOSTLY_ORGANIC, -(organic - ORGANIC_BASE) * (1 + F.abs(beta))).when(beta > 0, beta * (1 - organic)).otherwise(WEAK_RESPONSE * beta)

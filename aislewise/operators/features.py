@@ -11,6 +11,13 @@ from aislewise.functions.scalar import bucket, margin, money_sum, ratio, share_s
 from aislewise.operators.skew import exact_ranks
 from aislewise.staging import stage
 
+#: Rules of the coupon tiers (shares of the catalogue, redemption rate, margin) and of the revenue tiers
+#: (ranks, repeat rate, shares of discounted and undiscounted rows), and the cut points of price sensitivity.
+FEW, MANY, HALF = 0.3, 0.7, 0.5
+REDEEMED, HIGH_MARGIN = 0.40, 0.45
+CORE_RANK, REPEAT_RANK, REPEAT_RATE, DISCOUNTED, ORGANIC, LOW_UNITS = 12, 50, 0.3, 0.5, 0.7, 0.25
+SENSITIVITY_CUTS = (0.05, 0.10, 0.15, 0.20)
+
 
 def redeemed_rows(column: str = "redeemed") -> Column:
     return F.sum(F.when(F.col(column), 1).otherwise(0))
@@ -52,7 +59,7 @@ def customer_features(tx: DataFrame, clips: DataFrame, customers: DataFrame) ->
         people.join(bought, "customer_id", "left").join(by_card, "loyalty_number", "left").select(
             "customer_id", "loyalty_number", "age", "gender", "state", "is_student", F.coalesce("spend", F.lit(0.0)).alias("spend"), F.coalesce(ratio(F.col("spend"), F.col("priced")), F.lit(0.0)).alias("avg_basket"),
             n.alias("transactions"), c.alias("clips"), r.alias("redeemed"), F.when(c > 0, ratio(r, c)).otherwise(0.0).alias("redemption_rate"), F.when(n > 0, ratio(c, n)).otherwise(0.0).alias("engagement"),
-            bucket(F.coalesce(ratio(F.col("d"), F.col("dn")), F.lit(0.0)), [0.05, 0.10, 0.15, 0.20]).alias("sensitivity"),
+            bucket(F.coalesce(ratio(F.col("d"), F.col("dn")), F.lit(0.0)), SENSITIVITY_CUTS).alias("sensitivity"),
         )
     )
 
@@ -76,12 +83,12 @@ def large_quantiles(df: DataFrame, value: str, probabilities: Mapping[str, float
 
 def coupon_tiers(features: DataFrame) -> DataFrame:
     """Product features with a tier by clips, redemption, units and margin against quantiles of the catalogue; the first rule that holds decides."""
-    cut = with_quantiles(features, {"c30": ("clips", 0.3), "c70": ("clips", 0.7), "u50": ("units", 0.5), "u70": ("units", 0.7)})
+    cut = with_quantiles(features, {"c30": ("clips", FEW), "c70": ("clips", MANY), "u50": ("units", HALF), "u70": ("units", MANY)})
     tier = (
-        F.when((F.col("clips") >= F.col("c70")) & (F.col("redemption_rate") >= 0.40), "coupon_loyalist")
-        .when((F.col("clips") >= F.col("c30")) & (F.col("redemption_rate") < 0.40), "coupon_curious")
+        F.when((F.col("clips") >= F.col("c70")) & (F.col("redemption_rate") >= REDEEMED), "coupon_loyalist")
+        .when((F.col("clips") >= F.col("c30")) & (F.col("redemption_rate") < REDEEMED), "coupon_curious")
         .when((F.col("units") >= F.col("u70")) & (F.col("clips") < F.col("c30")), "organic_star")
-        .when((F.col("margin") >= 0.45) & (F.col("units") < F.col("u50")), "hidden_gem")
+        .when((F.col("margin") >= HIGH_MARGIN) & (F.col("units") < F.col("u50")), "hidden_gem")
         .otherwise("unclassified")
     )
     return cut.withColumn("tier", tier).drop("c30", "c70", "u50", "u70")
@@ -112,11 +119,11 @@ def revenue_tiers(tx: DataFrame, discounted_above: float = 0.0) -> DataFrame:
     )
     whole = base.join(repeat_rates(tx), "product_id", "left").join(basket_sizes(tx), "product_id", "left").na.fill({"repeat_rate": 0.0, "basket_size": 1.0})
     ranked = whole.withColumn("revenue_rank", F.rank().over(Window.orderBy(F.col("revenue").desc())))  # one row per product: small
-    cut = with_quantiles(ranked, {"u50": ("units", 0.5), "u25": ("units", 0.25)})
+    cut = with_quantiles(ranked, {"u50": ("units", HALF), "u25": ("units", LOW_UNITS)})
     tier = (
-        F.when((F.col("revenue_rank") <= 12) | ((F.col("revenue_rank") <= 50) & (F.col("repeat_rate") > 0.3)), 1)
-        .when((F.col("discounted") > 0.5) & (F.col("units") > F.col("u50")), 2)
-        .when((F.col("organic") > 0.7) & (F.col("units") > F.col("u25")), 3)
+        F.when((F.col("revenue_rank") <= CORE_RANK) | ((F.col("revenue_rank") <= REPEAT_RANK) & (F.col("repeat_rate") > REPEAT_RATE)), 1)
+        .when((F.col("discounted") > DISCOUNTED) & (F.col("units") > F.col("u50")), 2)
+        .when((F.col("organic") > ORGANIC) & (F.col("units") > F.col("u25")), 3)
         .otherwise(4)
     )
     return cut.withColumn("tier", tier).drop("u50", "u25")

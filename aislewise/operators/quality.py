@@ -8,6 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Distances from a range, in half-spans, up to which a value passes or is worth a warning.
+PASS_AWAY, WARN_AWAY = 0.2 / 0.21, 0.5 / 0.21
+
 
 def check(name: str, counted: DataFrame, low: int | None = None, high: int | None = None) -> DataFrame:
     """(check, value, passed) of a one-row, one-column count that should lie in [low, high]."""
@@ -52,4 +55,4 @@ def verdict(value: Column, low: Column, high: Column) -> Column:
     """PASS inside the range or barely outside, WARN up to about two and a half half-spans from it, else FAIL. NULL stays NULL."""
     half = F.when(high == low, F.greatest(F.abs(low) * 0.1, F.lit(1e-12))).otherwise((high - low) / 2)
     away = F.greatest(low - value, value - high, F.lit(0.0)) / half
-    return F.when(value.isNull(), None).when(away <= 0.2 / 0.21, "PASS").when(away <= 0.5 / 0.21, "WARN").otherwise("FAIL")
+    return F.when(value.isNull(), None).when(away <= PASS_AWAY, "PASS").when(away <= WARN_AWAY, "WARN").otherwise("FAIL")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Places, places per category, candidates per place, weight of the margin, factors for recent and clipped products.
+PLACES, PER_CATEGORY, POOL, MARGIN_WEIGHT, RECENT_FACTOR, CLIPPED_FACTOR = 10, 3, 5, 0.3, 0.5, 1.15
+
 
 def last_products(tx: DataFrame, n: int) -> DataFrame:
     """(customer_id, product_id, last_day, place): each customer's n products bought last, of one day the smaller id first.
@@ -23,7 +26,7 @@ def clipped_products(clips: DataFrame, customers: DataFrame) -> DataFrame:
 
 
 def constrained_top(
-    candidates: DataFrame, recent: DataFrame, clipped: DataFrame, n: int = 10, per_category: int = 3, pool: int = 5, margin_weight: float = 0.3, recent_factor: float = 0.5, clipped_factor: float = 1.15
+    candidates: DataFrame, recent: DataFrame, clipped: DataFrame, n: int = PLACES, per_category: int = PER_CATEGORY, pool: int = POOL, margin_weight: float = MARGIN_WEIGHT, recent_factor: float = RECENT_FACTOR, clipped_factor: float = CLIPPED_FACTOR
 ) -> DataFrame:
     """(customer_id, product_id, category, score, final, place): n products per customer with at most per_category of a category.
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import itertools
+import shutil
 import tempfile
 import uuid
 
@@ -66,8 +67,9 @@ def release() -> None:
         spark, path = _written.pop()
         try:
             delete(spark, path)
-        except Exception:  # the session has ended: the cluster's own cleaning of its shared folder takes over
-            pass
+        except Exception:  # the session has ended: what is no local file is left to the cluster's own cleaning
+            if path.startswith("file:"):
+                shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
 
 
 atexit.register(release)
