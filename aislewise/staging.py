@@ -7,10 +7,14 @@ keeping it in executors: the files outlive a lost executor and cut the lineage.
 from __future__ import annotations
 
 import atexit
+import io
 import itertools
 import shutil
 import tempfile
 import uuid
+import warnings
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,6 +49,26 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Give Python workers this package, once per session, so that they need neither its folder nor PYTHONPATH."""
+    context = spark.sparkContext
+    if getattr(context, "_aislewise_shipped", False):
+        return
+    context._aislewise_shipped = True
+    root, packed = Path(__file__).resolve().parent, io.BytesIO()
+    try:
+        with zipfile.ZipFile(packed, "w") as archive:
+            for file in sorted(root.rglob("*.py")):
+                archive.write(file, file.relative_to(root.parent))
+        target = spark._jvm.org.apache.hadoop.fs.Path(f"{new_path(spark, 'code')}/aislewise.zip")
+        out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+        out.write(bytearray(packed.getvalue()))
+        out.close()
+        context.addPyFile(target.toString())
+    except Exception as e:  # workers that can import the package by themselves don't need it
+        warnings.warn(f"the package could not be sent to the workers: {e}", stacklevel=2)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """`df` in at least as many partitions as there are cores, for work that costs far more than moving the rows.
 
