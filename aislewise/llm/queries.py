@@ -32,6 +32,12 @@ def p3_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumnsRenamed({"item_a": "product_a", "item_b": "product_b"})
 
 
+def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs in at least one basket, with their counts and lift."""
+    pairs = cooccurrence(table(spark, sf_dir, "transactions", "customer_id", "date", "product_id"), ["customer_id", "date"], "product_id")
+    return pairs.withColumnsRenamed({"item_a": "product_a", "item_b": "product_b"})
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "transactions", "transaction_id", "customer_id", "date", "product_id")
     return sparse_groups(rows, ["date", "product_id"], "transaction_id", "customer_id", 10, 6)
@@ -58,7 +64,7 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p3_found, p3_lift, p4_found, p4_counts, p7_ids, p8_found, p9_pieces)}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_lift, p3_pairs, p4_found, p4_counts, p7_ids, p8_found, p9_pieces)}
 
 
 _PAIRS = """
@@ -89,6 +95,11 @@ def oracle_sql() -> dict[str, str]:
             SELECT p.a AS product_a, p.b AS product_b, t AS together, x.c AS baskets_a, y.c AS baskets_b, n AS baskets,
               t * CAST(n AS DOUBLE) / (x.c * CAST(y.c AS DOUBLE)) AS lift
             FROM p JOIN i x ON x.product_id = p.a JOIN i y ON y.product_id = p.b, n WHERE t >= 0.0005 * n""",
+        "p3_pairs": _PAIRS.format(share=0)
+        + """
+            SELECT p.a AS product_a, p.b AS product_b, t AS together, x.c AS baskets_a, y.c AS baskets_b, n AS baskets,
+              t * CAST(n AS DOUBLE) / (x.c * CAST(y.c AS DOUBLE)) AS lift
+            FROM p JOIN i x ON x.product_id = p.a JOIN i y ON y.product_id = p.b, n""",
         "p4_found": """
             SELECT 'date' AS field, strftime(date, '%Y-%m-%d') AS group_key FROM transactions WHERE date IS NOT NULL GROUP BY date
             HAVING count(DISTINCT transaction_id) >= 10 AND 6 * count(DISTINCT customer_id) < count(DISTINCT transaction_id)

@@ -10,3 +10,22 @@ QUERIES, SQL = queries.queries(), queries.oracle_sql()
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(same, name):
     same(QUERIES[name], SQL.get(name))
+
+
+def test_all_pairs_of_baskets(spark):
+    """Also pairs in a single basket come out, with counts and lift."""
+    from collections import Counter, defaultdict
+    from itertools import combinations
+
+    folder = "/root/testdata/sf0.001"
+    by = defaultdict(set)
+    for c, d, p in spark.read.parquet(f"{folder}/transactions.parquet").select("customer_id", "date", "product_id").collect():
+        if None not in (c, d, p):
+            by[c, d].add(p)
+    single, pair = Counter(), Counter()
+    for items in by.values():
+        single.update(items)
+        pair.update(combinations(sorted(items), 2))
+    got = {(r["product_a"], r["product_b"]): r for r in QUERIES["p3_pairs"](spark, folder).collect()}
+    assert {k: r["together"] for k, r in got.items()} == pair and 1 in pair.values()
+    assert all(r["baskets"] == len(by) and r["lift"] == pytest.approx(n * len(by) / single[a] / single[b]) for (a, b), n in pair.items() for r in [got[a, b]])
