@@ -1,15 +1,15 @@
 """Splitting of oversized texts at valleys of lexical cohesion, under a token limit and with overlap.
 
 Sentences and lines are the units. At each gap between units, the words of the units before it are compared with those
-after it (cosine of word counts over a sliding block on either side); a gap's depth is how far its similarity lies below
-the peaks on both sides. Pieces are laid from the left: of the unit gaps in the upper half of the size window the
+after it (cosine of exact word counts over a sliding block on either side; of scripts written without spaces, pairs of
+neighbouring characters stand for words); a gap's depth is how far its similarity lies below the peaks on both sides. Pieces are laid from the left: of the unit gaps in the upper half of the size window the
 deepest ends the piece (of equal ones the last); else the last unit gap below; else the last gap between words; else the
 last token boundary between two characters. The next piece begins overlap tokens before that cut.
 """
 
 from __future__ import annotations
 
-import zlib
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -22,12 +22,29 @@ from aislewise.llm.bpe import Encoder, Vocabulary, encoder_of
 from aislewise.llm.encode import default_vocabulary
 from aislewise.staging import spread
 
-#: Units in the block on either side of a gap, and buckets that words are hashed into.
-SIDE, BUCKETS = 4, 128
+#: Units in the block on either side of a gap.
+SIDE = 4
 _CHUNK_CHARS = 400_000
 _STOPS = ".!?…。！？؟।"
 _CLOSERS = "\"'”’»)]}*_"
 MAX_LIMITS = 10_000
+#: Scripts without spaces between words: Thai, Lao, Burmese, Khmer, kana, ideographs.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_RUNS = re.compile(f"[{_UNSPACED}]+|[^{_UNSPACED}]+")
+_is_unspaced = re.compile(f"[{_UNSPACED}]").search
+
+
+def terms_of(word: str) -> list[str]:
+    """What of an encoder's word is compared: the word in lower case, pairs of characters of unspaced scripts."""
+    bare = word.strip().casefold()
+    if not bare[:1].isalnum():
+        return []
+    if bare.isascii() or not _is_unspaced(bare):
+        return [bare]
+    out = []
+    for run in _RUNS.findall(bare):
+        out += [run[i : i + 2] for i in range(len(run) - 1)] if len(run) > 1 and _is_unspaced(run) else [run]
+    return out
 
 
 class _Words:
@@ -39,7 +56,9 @@ class _Words:
         self.line = np.zeros(0, bool)  # holds a line end
         self.blank = np.zeros(0, bool)  # white space only
         self.open = np.zeros(0, bool)  # begins with white space
-        self.bucket = np.zeros(0, np.int64)  # of its letters, -1 without any
+        self.code: dict[str, int] = {}  # of each term
+        self.first = np.zeros(1, np.int64)  # terms of word w: term[first[w]] to term[first[w + 1]]
+        self.term = np.zeros(0, np.int64)
         self.chars = np.zeros(0, np.int64)
 
     def learn(self) -> None:
@@ -53,27 +72,44 @@ class _Words:
         flags = np.array(
             [[b[-1:] in _STOPS and b != "", "\n" in w or "\r" in w or " " in w or " " in w, w.isspace(), w[0].isspace()] for w, b in zip(new, bare, strict=True)]
         )
-        letters = [w.strip().casefold() for w in new]
-        bucket = np.array([zlib.crc32(x.encode()) % BUCKETS if x[:1].isalnum() else -1 for x in letters], np.int64)
+        terms = [terms_of(w) for w in new]
         for name, values in zip(("stop", "line", "blank", "open"), flags.T, strict=True):
             setattr(self, name, np.append(getattr(self, name), values))
-        self.bucket = np.append(self.bucket, bucket)
+        self.term = np.append(self.term, np.array([self.code.setdefault(x, len(self.code)) for own in terms for x in own], np.int64))
+        self.first = np.append(self.first, self.first[-1] + np.cumsum([len(own) for own in terms]))
         self.chars = np.append(self.chars, [len(w) for w in new])
 
 
 _known: dict[int, _Words] = {}
 
 
-def gap_depths(words: np.ndarray, buckets: np.ndarray, units: int) -> np.ndarray:
-    """Depth of each gap before units 1 to units - 1. `words` has the unit of each word, `buckets` its bucket or -1."""
-    ok = buckets >= 0
-    counts = np.bincount(words[ok] * BUCKETS + buckets[ok], minlength=units * BUCKETS).reshape(units, BUCKETS)
-    below = np.vstack([np.zeros(BUCKETS), np.cumsum(counts, axis=0)])
-    gap = np.arange(1, units)
-    before = below[gap] - below[np.maximum(gap - SIDE, 0)]
-    after = below[np.minimum(gap + SIDE, units)] - below[gap]
-    norm = np.sqrt((before**2).sum(1) * (after**2).sum(1))
-    alike = np.divide((before * after).sum(1), norm, out=np.zeros(len(gap)), where=norm > 0)
+def gap_depths(words: np.ndarray, terms: np.ndarray, units: int) -> np.ndarray:
+    """Depth of each gap before units 1 to units - 1. `words` has the unit of each word, `terms` its term or -1.
+
+    Sums over blocks are made of the products of units at most 2 * SIDE - 1 apart, taken term by term, so that the size
+    of the vocabulary doesn't matter.
+    """
+    ok = terms >= 0
+    key, count = np.unique(terms[ok] * units + words[ok], return_counts=True)
+    term, unit = key // units, key % units
+    width = units + 2 * SIDE
+    alike = np.zeros(2 * SIDE * width)  # at [k, SIDE + u]: units u and u + k
+    alike[:width] = np.bincount(unit + SIDE, count.astype(float) ** 2, width)
+    for step in range(1, min(2 * SIDE, len(key))):
+        apart = unit[step:] - unit[:-step]
+        at = np.flatnonzero((term[step:] == term[:-step]) & (apart < 2 * SIDE))
+        if not len(at):
+            break
+        alike += np.bincount(apart[at] * width + unit[at] + SIDE, (count[at] * count[at + step]).astype(float), len(alike))
+    alike = alike.reshape(2 * SIDE, width)
+    gap = np.arange(1, units) + SIDE
+    block = np.zeros(width)  # squared length of SIDE units from each on
+    for k in range(SIDE):
+        for i in range(SIDE - k):
+            block[: width - SIDE] += (2 if k else 1) * alike[k, i : i + width - SIDE]
+    both = sum(alike[a + b, gap - a] for a in range(1, SIDE + 1) for b in range(SIDE))
+    norm = np.sqrt(block[gap - SIDE] * block[gap])
+    alike = np.divide(both, norm, out=np.zeros(len(gap)), where=norm > 0)
     return _rise(alike) + _rise(alike[::-1])[::-1] - 2 * alike
 
 
@@ -165,7 +201,9 @@ class Splitter:
             depth = np.zeros(len(unit))
             if len(unit):
                 belongs = np.searchsorted(unit, np.arange(len(own)), side="left")
-                depth = gap_depths(belongs, w.bucket[own], len(unit) + 1)
+                first, size = w.first[own], w.first[own + 1] - w.first[own]
+                at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+                depth = gap_depths(np.repeat(belongs, size), w.term[at], len(unit) + 1)
             for k, (_, most, overlap) in enumerate(self.limits):
                 if totals[i] <= most:
                     continue

@@ -82,3 +82,40 @@ def test_frames(spark):
     assert len(firsts) == 2 and firsts[0]["piece_text"] == every[0][: firsts[0]["end_char"]]
     assert split_oversized(docs.limit(0), limits).count() == 0
     assert split_oversized(docs, limits.limit(0)).count() == 0
+
+
+def test_words_are_counted_exactly():
+    """Against plain counters, with more distinct words than any small number of bins holds apart."""
+    from collections import Counter
+
+    rng = np.random.default_rng(3)
+    units, terms = np.sort(rng.integers(0, 60, 3000)), rng.integers(-1, 900, 3000)
+    own = [Counter(terms[(units == u) & (terms >= 0)].tolist()) for u in range(60)]
+    alike = []
+    for g in range(1, 60):
+        a, b = sum(own[max(0, g - 4) : g], Counter()), sum(own[g : g + 4], Counter())
+        alike.append(sum(n * b[t] for t, n in a.items()) / (sum(n * n for n in a.values()) * sum(n * n for n in b.values())) ** 0.5)
+    expect = []
+    for i, x in enumerate(alike):
+        lo = hi = i
+        while lo and alike[lo - 1] >= alike[lo]:
+            lo -= 1
+        while hi < len(alike) - 1 and alike[hi + 1] >= alike[hi]:
+            hi += 1
+        expect.append(alike[lo] + alike[hi] - 2 * x)
+    assert np.allclose(gap_depths(units, terms, 60), expect, atol=1e-9)
+    assert not gap_depths(np.arange(5), np.full(5, -1), 5).any()
+
+
+def test_unspaced_scripts_share_pairs_of_characters():
+    """Clauses that differ as a whole but hold the same words; the cut is where the topic changes."""
+    first = "红灯需要灯泡。灯泡照亮红灯。我们买红灯和灯泡。红灯的灯泡很亮。" * 3
+    second = "小猫追老鼠。老鼠怕小猫。小猫睡了老鼠来。老鼠躲小猫。" * 3
+    splitter = Splitter(Vocabulary.load(default_vocabulary()), [("x", 10, 0)])
+    from aislewise.llm import splitting
+
+    assert splitting.terms_of(" Lamps") == ["lamps"] and splitting.terms_of("红灯泡") == ["红灯", "灯泡"] and splitting.terms_of("abc中") == ["abc", "中"] and splitting.terms_of(",") == []
+    tokens = sum(1 for _ in splitter.encoder.encode([first + second])[0])
+    splitter.limits = [("x", tokens - 12, 0)]
+    cut = next(iter(splitter.split([first + second])))
+    assert cut[4] == len(first)
