@@ -25,7 +25,8 @@ from aislewise.staging import spread
 #: Units in the block on either side of a gap.
 SIDE = 4
 _CHUNK_CHARS = 400_000
-_STOPS = ".!?…。！？؟।"
+#: Of these, the ASCII ones end a sentence only before white space or the end of the text.
+_STOPS, _SPACED_STOPS = ".!?…。！？؟।", ".!?"
 _CLOSERS = "\"'”’»)]}*_"
 MAX_LIMITS = 10_000
 #: Scripts without spaces between words: Thai, Lao, Burmese, Khmer, kana, ideographs.
@@ -53,13 +54,15 @@ class _Words:
     def __init__(self, encoder: Encoder) -> None:
         self.encoder, self.known = encoder, encoder.words
         self.stop = np.zeros(0, bool)  # ends a sentence
+        self.spaced = np.zeros(0, bool)  # ends a sentence if white space or nothing follows
+        self.dot = np.zeros(0, bool)  # a full stop alone
+        self.letter = np.zeros(0, bool)  # one letter, after white space or not
         self.line = np.zeros(0, bool)  # holds a line end
         self.blank = np.zeros(0, bool)  # white space only
         self.open = np.zeros(0, bool)  # begins with white space
         self.code: dict[str, int] = {}  # of each term
         self.first = np.zeros(1, np.int64)  # terms of word w: term[first[w]] to term[first[w + 1]]
         self.term = np.zeros(0, np.int64)
-        self.chars = np.zeros(0, np.int64)
 
     def learn(self) -> None:
         if self.known is not self.encoder.words:  # the cache has started anew
@@ -70,14 +73,13 @@ class _Words:
         new = list(self.known)[have:]
         bare = [w.rstrip(_CLOSERS) for w in new]
         flags = np.array(
-            [[b[-1:] in _STOPS and b != "", "\n" in w or "\r" in w or " " in w or " " in w, w.isspace(), w[0].isspace()] for w, b in zip(new, bare, strict=True)]
+            [[b[-1:] in _STOPS and b[-1:] not in _SPACED_STOPS, b != "" and b[-1] in _SPACED_STOPS, w == ".", len(w.strip()) == 1 and w.strip().isalpha(), "\n" in w or "\r" in w or " " in w or " " in w, w.isspace(), w[0].isspace()] for w, b in zip(new, bare, strict=True)]
         )
         terms = [terms_of(w) for w in new]
-        for name, values in zip(("stop", "line", "blank", "open"), flags.T, strict=True):
+        for name, values in zip(("stop", "spaced", "dot", "letter", "line", "blank", "open"), flags.T, strict=True):
             setattr(self, name, np.append(getattr(self, name), values))
         self.term = np.append(self.term, np.array([self.code.setdefault(x, len(self.code)) for own in terms for x in own], np.int64))
         self.first = np.append(self.first, self.first[-1] + np.cumsum([len(own) for own in terms]))
-        self.chars = np.append(self.chars, [len(w) for w in new])
 
 
 _known: dict[int, _Words] = {}
@@ -192,12 +194,15 @@ class Splitter:
             between = np.maximum.accumulate(np.where(starts_char, place, 0))
             # a unit ends with a sentence's last word or a line end, after all white space that follows
             blank, last = w.blank[own], len(own) - 1
-            closes = w.stop[own] | w.line[own]
+            # the last stop of e.g. or U.S. ends none
+            short = w.dot[own]
+            short[3:] &= w.letter[own[2:-1]] & ~w.open[own[2:-1]] & w.dot[own[1:-2]] & w.letter[own[:-3]]
+            short[:3] = False
+            closes = w.stop[own] | w.line[own] | (w.spaced[own] & ~short & np.append(w.open[own[1:]], True))
             tail = np.append(blank[1:], False)  # white space follows: the gap moves behind it
             run_end = np.flatnonzero(~tail)
             moved = np.unique(run_end[np.searchsorted(run_end, np.flatnonzero(closes))])
-            opens = np.append(w.open[own[1:]], False) | blank | w.line[own] | (w.chars[own] > 1) | closes
-            unit = moved[(moved < last) & opens[moved]]
+            unit = moved[moved < last]
             depth = np.zeros(len(unit))
             if len(unit):
                 belongs = np.searchsorted(unit, np.arange(len(own)), side="left")

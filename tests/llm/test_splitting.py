@@ -119,3 +119,21 @@ def test_unspaced_scripts_share_pairs_of_characters():
     splitter.limits = [("x", tokens - 12, 0)]
     cut = next(iter(splitter.split([first + second])))
     assert cut[4] == len(first)
+
+
+def test_stops_inside_numbers_links_and_abbreviations():
+    """Only stops before white space or the end are sentence ends; full-width ones and line ends are in any case."""
+    rng = random.Random(5)
+    parts = ["Lamp at $38.31 now.", "See https://shop.example.com/a.b?c=1.5 today!", "Cats, e.g. red ones, cost 1.5 to 2.75 each.", "He said \"The U.S. store opens at 9.30.\"", "Is v2.0.1 out?", "It is **new.**"]
+    text = " ".join(rng.choice(parts) for _ in range(400))
+    ends, at = set(), 0
+    for part in text.replace(".\" ", ".\"\0").replace(".** ", ".**\0").replace("? ", "?\0").replace("! ", "!\0").replace("now. ", "now.\0").replace("each. ", "each.\0").split("\0"):
+        at += len(part)
+        ends.add(at)
+        at += 1
+    splitter = Splitter(Vocabulary.load(default_vocabulary()), [("x", 100, 10), ("y", 40, 0)])
+    cuts = {p[4] for p in splitter.split([text])}
+    assert len(cuts) > 50 and cuts <= ends
+    splitter.limits = [("x", 20, 0)]
+    full = "价格为12.50元。红灯很亮！猫睡了？"
+    assert {(full * 40)[: p[4]][-1] for p in splitter.split([full * 40])} <= set("。！？")
