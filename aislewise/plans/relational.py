@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,17 +78,12 @@ def appended(t: Tables) -> DataFrame:
 
 
 def binary_vectors(t: Tables) -> DataFrame:
-    """Vectors with ids below 200 through the binary file layout; the file lies in the shared folder where that is mounted."""
+    """All vectors through the binary file layout, a file per partition; the files lie in the shared folder where that is mounted."""
     path = new_path(t.spark, "vectors")
     if not path.startswith("file:") and "://" in path:
         raise ValueError("the binary layout needs a mounted folder")
-    rows = t.embeddings.where("vec_id < 200").orderBy("vec_id").collect()
-    import os
-
-    local = path.replace("file://", "").replace("file:", "")
-    os.makedirs(local)
-    files.write_vector_file(f"{local}/v.vdb", np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows]))
-    return files.read_vector_file(t.spark, f"{local}/v.vdb", 64).select("id", F.posexplode("vector").alias("pos", "x"))
+    written = files.write_vector_files(t.embeddings, path.replace("file://", "").replace("file:", ""), "vec_id", "embedding")
+    return files.read_vector_file(t.spark, written).select("id", F.posexplode("vector").alias("pos", "x"))
 
 
 def converted(t: Tables) -> DataFrame:
@@ -123,7 +117,8 @@ add("S16", lambda t: files.json_lines(t.stores.groupBy("state").agg(F.count(F.li
     """SELECT '{"state":"' || state || '","n":' || count(*) || '}' AS json FROM stores WHERE state IS NOT NULL GROUP BY state""")
 add("S17", lambda t: files.read_parquet(t.spark, files.write_parquet(t.embeddings, new_path(t.spark, "arrays"))).select("vec_id", F.posexplode("embedding").alias("pos", "x")),
     "SELECT vec_id, CAST(unnest(range(len(embedding))) AS INTEGER) AS pos, unnest(embedding) AS x FROM embeddings")
-add("S18", binary_vectors, "SELECT vec_id AS id, CAST(unnest(range(len(embedding))) AS INTEGER) AS pos, unnest(embedding) AS x FROM embeddings WHERE vec_id < 200")
+add("S18_all", binary_vectors, "SELECT vec_id AS id, CAST(unnest(range(len(embedding))) AS INTEGER) AS pos, unnest(embedding) AS x FROM embeddings")
+add("S18", lambda t: binary_vectors(t).where("id < 200"), "SELECT vec_id AS id, CAST(unnest(range(len(embedding))) AS INTEGER) AS pos, unnest(embedding) AS x FROM embeddings WHERE vec_id < 200")
 add("S20", lambda t: t.spark.createDataFrame(t.stores.select("store_id", "name").toPandas()).select(F.col("store_id").cast("int").alias("store_id"), "name"), "SELECT store_id, name FROM stores")
 add("S21", lambda t: t.spark.createDataFrame([(t.transactions.count(),)], "n bigint"), "SELECT count(*) AS n FROM transactions")
 add("S23", lambda t: files.first_by_id(stores(t).withColumn("arrival", F.lit(1)).unionByName(stores(t).withColumns({"arrival": F.lit(2), "name": F.lit("later")})), "store_id", ["arrival"]),

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+import shutil
 import struct
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -93,33 +96,77 @@ def write_vector_file(path: str, ids: np.ndarray, vectors: np.ndarray) -> None:
         f.write(np.ascontiguousarray(vectors, "<f4").tobytes())
 
 
-def read_vector_file(spark: SparkSession, path: str, rows_per_task: int = 100_000) -> DataFrame:
-    """(id bigint, vector array<float>) of a binary vector file that all executors can open; tasks read ranges of it.
+def write_vector_files(df: DataFrame, folder: str, key: str, vector: str) -> list[str]:
+    """Write (id, vector) of all rows as binary vector files, one per partition that has rows, from the executors; the paths.
+
+    `folder` is a local or mounted path that all executors can open. Each attempt of a task writes a file of its own, of
+    which only those that count are returned. NULL, ids that don't fit 32 bits and vectors of several lengths in a
+    partition are errors.
+    """
+    os.makedirs(folder, exist_ok=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, ids, width = f"{folder}/{uuid.uuid4().hex}.vdb", [], None
+        with tempfile.TemporaryFile(dir=folder) as vectors:
+            for batch in batches:
+                own, lists = batch.columns
+                if not batch.num_rows:
+                    continue
+                if own.null_count or lists.null_count or (flat := lists.flatten()).null_count:
+                    raise ValueError("a vector file holds no NULL")
+                own = own.to_numpy()
+                widths = np.unique(lists.value_lengths().to_numpy())
+                width = int(widths[0]) if width is None else width
+                if own.min() < 0 or own.max() >= 2**32:
+                    raise ValueError("a vector file holds 32-bit ids")
+                if len(widths) > 1 or widths[0] != width or not 0 < width < 2**16:
+                    raise ValueError("a vector file holds vectors of one length")
+                ids.append(own.astype("<u4"))
+                vectors.write(np.ascontiguousarray(flat.to_numpy(), "<f4").tobytes())
+            if not ids:
+                return
+            count = sum(map(len, ids))
+            vectors.seek(0)
+            with open(path, "wb") as f:
+                f.write(struct.pack(VECTOR_HEADER, VECTOR_MAGIC, VECTOR_VERSION, count, width))
+                for own in ids:
+                    f.write(own.tobytes())
+                shutil.copyfileobj(vectors, f)
+        yield pa.RecordBatch.from_arrays([pa.array([path])], names=["path"])
+
+    rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("vector"))
+    return [r[0] for r in rows.mapInArrow(run, "path string").collect()]
+
+
+def read_vector_file(spark: SparkSession, path: str | Sequence[str], rows_per_task: int = 100_000) -> DataFrame:
+    """(id bigint, vector array<float>) of binary vector files that all executors can open; tasks read ranges of them.
 
     A file with another magic or version, without dimensions or cut short is an error.
     """
-    size = struct.calcsize(VECTOR_HEADER)
-    with open(path, "rb") as f:
-        head = f.read(size)
-    if len(head) < size:
-        raise ValueError("not a vector file: too short")
-    magic, version, count, width = struct.unpack(VECTOR_HEADER, head)
-    if magic != VECTOR_MAGIC or version != VECTOR_VERSION or width == 0:
-        raise ValueError("not a vector file of this version")
-    if os.path.getsize(path) < size + 4 * count * (1 + width):
-        raise ValueError("the vector file is cut short")
+    size, parts = struct.calcsize(VECTOR_HEADER), []
+    for one in [path] if isinstance(path, str) else path:
+        with open(one, "rb") as f:
+            head = f.read(size)
+        if len(head) < size:
+            raise ValueError("not a vector file: too short")
+        magic, version, count, width = struct.unpack(VECTOR_HEADER, head)
+        if magic != VECTOR_MAGIC or version != VECTOR_VERSION or width == 0:
+            raise ValueError("not a vector file of this version")
+        if os.path.getsize(one) < size + 4 * count * (1 + width):
+            raise ValueError("the vector file is cut short")
+        parts += [(one, count, width, start) for start in range(0, count, rows_per_task)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in batch.column(0).to_pylist():
+            for at in batch.column(0).to_pylist():
+                one, count, width, start = parts[at]
                 n = min(rows_per_task, count - start)
-                ids = np.fromfile(path, "<u4", n, offset=size + 4 * start)
-                flat = np.fromfile(path, "<f4", n * width, offset=size + 4 * count + 4 * start * width)
+                ids = np.fromfile(one, "<u4", n, offset=size + 4 * start)
+                flat = np.fromfile(one, "<f4", n * width, offset=size + 4 * count + 4 * start * width)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * width + 1, width), pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), lists], names=["id", "vector"])
 
-    tasks = max(1, -(-count // rows_per_task))
-    return spark.range(0, count, rows_per_task, tasks).mapInArrow(run, "id bigint, vector array<float>")
+    return spark.range(0, len(parts), 1, max(1, len(parts))).mapInArrow(run, "id bigint, vector array<float>")
 
 
 def first_by_id(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:

@@ -177,3 +177,24 @@ def test_pages(spark):
     rows = [(1, good), (2, good.replace('"geo"', '"no"')), (3, '<meta name="geo.position" content="3;4">' + good.replace('"geo"', '"no"')), (4, good.replace("{", "", 1)), (5, None), (6, ""), (7, good.replace("streetAddress", "s"))]
     got = {r["id"]: r for r in store_pages(spark.createDataFrame(rows, "id int, html string"), "id", "html").collect()}
     assert set(got) == {1, 3} and (got[1]["address"], got[1]["zip_code"], got[1]["state"], got[3]["latitude"]) == ("1 Oak St", "00123", "NY", 3.0)
+
+
+def test_vector_files_of_partitions(spark, tmp_path):
+    rows = [(i, [float(i), i / 3]) for i in range(1000)]
+    df = spark.createDataFrame(rows, "i int, v array<float>")
+    paths = files.write_vector_files(df.repartition(5), str(tmp_path / "many"), "i", "v")
+    assert len(paths) == 5
+    got = {r["id"]: r["vector"] for r in files.read_vector_file(spark, paths, 30).collect()}
+    assert got == {i: np.float32(v).tolist() for i, v in rows}
+    assert files.read_vector_file(spark, files.write_vector_files(df.limit(0), str(tmp_path / "none"), "i", "v")).count() == 0
+    for bad in ([(1, None)], [(None, [1.0])], [(-1, [1.0])], [(1, [1.0]), (2, [1.0, 2.0])], [(1, [None])]):
+        with pytest.raises(Exception, match="a vector file holds"):
+            files.write_vector_files(spark.createDataFrame(bad, "i int, v array<float>").coalesce(1), str(tmp_path / "bad"), "i", "v")
+
+
+def test_every_vector_is_written_and_read(spark):
+    from aislewise.plans import registry
+
+    folder = "/root/testdata/sf0.001"
+    ids = {r[0] for r in spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id").collect()}
+    assert len(ids) > 200 and {r[0] for r in registry.queries()["S18_all"](spark, folder).select("id").distinct().collect()} == ids
