@@ -232,6 +232,7 @@ add("P17_vocabulary", lambda t: features.vocabulary(t.products, "category"), "SE
 
 both("F1", "SELECT clip_id, least(discount_value, 0.5) AS capped, greatest(discount_value, 0.5) AS floored FROM {coupon_clips}")
 both("F2", "SELECT transaction_id, round(total * 3, 1) AS r FROM {transactions} WHERE abs(total * 30 - floor(total * 30) - 0.5) > 0.01")
+both("F2_all", "SELECT transaction_id, CAST(round(CAST(total AS DECIMAL(18,2)) * 3, 1) AS DOUBLE) AS r FROM {transactions}")  # totals are in cents; ties away from zero
 both("F3", "SELECT product_id, nullif(price, 0) AS price FROM {products}")
 both("F4", "SELECT customer_id, coalesce(state, 'unknown') AS state, CAST(coalesce(age, 0) AS INT) AS age FROM {customers}")
 add("F5", lambda t: t.customers.select("customer_id", (F.rand(7) < 0.5).alias("half")))
