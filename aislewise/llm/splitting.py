@@ -2,9 +2,10 @@
 
 Sentences and lines are the units. At each gap between units, the words of the units before it are compared with those
 after it (cosine of exact word counts over a sliding block on either side; of scripts written without spaces, pairs of
-neighbouring characters stand for words); a gap's depth is how far its similarity lies below the peaks on both sides. Pieces are laid from the left: of the unit gaps in the upper half of the size window the
-deepest ends the piece (of equal ones the last); else the last unit gap below; else the last gap between words; else the
-last token boundary between two characters. The next piece begins overlap tokens before that cut.
+neighbouring characters stand for words); a gap's depth is how far its similarity lies below the peaks on both sides.
+Pieces are laid from the left: of the unit gaps in the size window, above the overlap, the deepest ends the piece (of
+equal ones the last); else the last gap between words; else the last token boundary between two characters. The next
+piece begins overlap tokens before that cut.
 """
 
 from __future__ import annotations
@@ -134,21 +135,21 @@ def cut_points(ends: np.ndarray, unit: np.ndarray, depth: np.ndarray, most: int,
     gaps = ends[unit]
     while total - begin > most:
         limit = begin + most
-        low = max(done, begin + most // 2)
+        after = begin + 1  # the next piece must begin at a later character, with its overlap
+        while between[after] != after:
+            after += 1
+        low = max(done, after + overlap - 1)
         a, b = gaps.searchsorted((low, limit), "right").tolist()
         if b > a:
             best = depth[a:b]
             cut = int(gaps[b - 1 - int(best[::-1].argmax())])
         else:
-            a = int(gaps.searchsorted(max(done, begin + overlap), "right"))
             at = int(ends.searchsorted(limit, "right")) - 1
-            if b > a:
-                cut = int(gaps[b - 1])
-            elif at >= 0 and ends[at] > max(done, begin + overlap):
+            if at >= 0 and ends[at] > low:
                 cut = int(ends[at])
             else:
                 cut = int(between[limit])
-                if cut <= max(done, begin + overlap):  # one character is longer than the room left: it stays whole
+                if cut <= low:  # one character is longer than the room left: it stays whole
                     cut = limit
         pieces.append((begin, cut))
         done = cut

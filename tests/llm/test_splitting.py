@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 from aislewise.llm.bpe import Vocabulary
 from aislewise.llm.encode import default_vocabulary
-from aislewise.llm.splitting import Splitter, gap_depths, split_oversized
+from aislewise.llm.splitting import Splitter, cut_points, gap_depths, split_oversized
 
 LIMITS = [("a", 128, 16), ("b", 64, 0), ("c", 40, 19), ("d", 7, 3)]
 
@@ -137,3 +137,14 @@ def test_stops_inside_numbers_links_and_abbreviations():
     splitter.limits = [("x", 20, 0)]
     full = "价格为12.50元。红灯很亮！猫睡了？"
     assert {(full * 40)[: p[4]][-1] for p in splitter.split([full * 40])} <= set("。！？")
+
+
+def test_deepest_valley_of_the_whole_window():
+    ends, unit = np.arange(10, 210, 10), np.arange(19)
+    depth = np.full(19, 0.1)
+    depth[2] = 0.9  # at 30, in the lower half of the first window
+    assert cut_points(ends, unit, depth, 100, 10, np.arange(201))[0] == (0, 30)
+    assert cut_points(ends, unit, depth, 100, 30, np.arange(201))[0] == (0, 100)  # not above the overlap
+    # a character of four tokens at the start: a cut so near that the next piece would begin inside it is none
+    between = np.array([0, 0, 0, 0, *range(4, 201)])
+    assert cut_points(np.array([4, 12, 20, 200]), np.array([1, 2]), np.array([0.9, 0.1]), 100, 10, between)[:2] == [(0, 20), (10, 110)]
