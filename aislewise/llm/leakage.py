@@ -1,7 +1,7 @@
 """Evaluation texts inside a training corpus: BM25 over word trigrams with block-max WAND, then alignment.
 
 Index: each evaluation item is a short document whose terms are the word trigrams of its question (standard notices,
-which stand alike in several prompts, are cut first). Every passage of every training text is a query. A term's weight
+which stand alike in several prompts, are cut first; each part of a question that they leave is such a document). Every passage of every training text is a query. A term's weight
 in an item is its BM25 weight divided by the item's own threshold, so that one number, 1, is the cut for all items. The
 threshold is the least score that any true case can have: at most one in seven of L successive words is altered, each
 alteration breaks at most three trigrams, so at least L - 2 - 3 * (L // 7) trigrams of the span are left; the sum of the
@@ -38,8 +38,8 @@ MAX_INDEX_WORDS, MAX_ITEMS = 5_000_000, 100_000
 _CHUNK_CHARS = 1_000_000
 
 
-def question_words(prompts: Sequence[Sequence[str]]) -> list[list[str]]:
-    """Words of each prompt without the notices: runs of NOTICE_WORDS words that several prompts share.
+def question_runs(prompts: Sequence[Sequence[str]]) -> list[list[list[str]]]:
+    """Runs of words of each prompt between the notices: passages of NOTICE_WORDS words that several prompts share.
 
     A run across the border of a notice and a question may also stand in two prompts by chance, so a run counts only if
     it stands in at least half as many prompts as the most frequent run that overlaps it.
@@ -63,10 +63,15 @@ def question_words(prompts: Sequence[Sequence[str]]) -> list[list[str]]:
             elif run:
                 kept.append(run)
                 run = []
-        result.append(max(kept, key=len, default=[]))
+        result.append(kept)
     return result
 
 
+def question_words(prompts: Sequence[Sequence[str]]) -> list[list[str]]:
+    """The longest run of each prompt."""
+    return [max(runs, key=len, default=[]) for runs in question_runs(prompts)]
+
+
 @dataclass
 class Index:
     """Postings of all items; its size is that of the evaluation set, which is checked when it is built."""
@@ -83,11 +88,11 @@ class Index:
     block: np.ndarray
     block_max: np.ndarray
     questions: list[np.ndarray]
-    ids: list[int]
+    ids: list[int]  # the item of each question
 
     @classmethod
     def build(cls, rows: Sequence[tuple[int, str | None]]) -> Index:
-        """Items with a NULL or blank prompt, or a question of fewer than MIN_WORDS words, can have no case."""
+        """Each run of an item's question is indexed by itself; of those below MIN_WORDS words there can be no case."""
         pairs = sorted({p for _, prompt in rows for p in compounds_of(prompt or "")})
         joined = {a + b: (a, b) for a, b in pairs}
         split = [words_of(prompt or "") for _, prompt in rows]
@@ -101,7 +106,8 @@ class Index:
                 i += 2 if whole else 1
             return out
 
-        questions = question_words([merged(w) for w in split])
+        runs = [(i, run) for (i, _), own in zip(rows, question_runs([merged(w) for w in split]), strict=True) for run in own if len(run) >= MIN_WORDS]
+        questions = [run for _, run in runs]
         if sum(map(len, questions)) > MAX_INDEX_WORDS:
             raise ValueError("the evaluation set is too large for one index; search it in parts")
         vocab: dict[str, int] = {}
@@ -145,7 +151,7 @@ class Index:
         return cls(
             vocab, compound, follows, np.array(term, np.int64), np.array([max(w for _, w in postings[k]) for k in term]),
             np.array(first), np.array(item, np.int64), np.array(weights), np.array(block_first), np.array(blocks, np.int64), np.array(maxima),
-            coded, [i for i, _ in rows],
+            coded, [i for i, _ in runs],
         )
 
     @staticmethod
@@ -238,7 +244,7 @@ class Index:
         for (where, item), spans in found.items():
             if any(aligned(self.questions[item], code[lo:hi]) for lo, hi in spans):
                 result.append((where, self.ids[item]))
-        return result
+        return list(dict.fromkeys(result))
 
 
 def aligned(question: np.ndarray, passage: np.ndarray) -> bool:

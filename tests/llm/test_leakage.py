@@ -125,3 +125,11 @@ def test_bound(spark, items, monkeypatch):
     evals = spark.createDataFrame(items[0], "item_id int, prompt string")
     with pytest.raises(ValueError, match="too many"):
         leaked_items(spark.createDataFrame([(1, "x")], "doc_id int, text string"), evals)
+
+
+def test_every_part_of_a_question_is_indexed(items):
+    """A notice in the middle of a prompt leaves two parts; either is a case, both together are one."""
+    rows, rng = items
+    first, second = (" ".join(rng.choice(WORDS) for _ in range(n)) for n in (30, 45))
+    index = Index.build([*rows, (70, f"{first}. {NOTICE} {second}?")])
+    assert index.search([first, second, f"{second} {first}", NOTICE]) == [(0, 70), (1, 70), (2, 70)]
