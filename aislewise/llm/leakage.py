@@ -288,24 +288,40 @@ def _longest_run(same: np.ndarray) -> int:
     return best
 
 
+def answer_share(answer: Sequence[str], words: np.ndarray) -> float:
+    """The longest run of the answer's words that stands in the text, as a share of the answer; `words` are the text's."""
+    run, best = np.zeros(len(words) + 1, np.int32), 0
+    for word in answer:
+        run[1:] = np.where(words == word, run[:-1] + 1, 0)
+        best = max(best, int(run.max()))
+    return best / len(answer)
+
+
 def leaked_items(
-    docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", prompt: str = "prompt"
+    docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", prompt: str = "prompt", answer: str | None = None
 ) -> DataFrame:
     """(doc_id, item_id): each document that holds at least 22 successive words of an item's question, almost unaltered.
 
     A document and an item come out once per row of the document. NULL, empty and blank texts and prompts have no case;
     repeated documents are reported each. Other columns are not read. The evaluation items are gathered into an index of
     bounded size (an error beyond MAX_ITEMS items or MAX_INDEX_WORDS words); documents stay where they are: no shuffle.
+    With the column `answer` of the items there is also answer_share, the longest run of an answer's words in the
+    document as a share of the answer; NULL where the answer has no words, the largest where an item has several.
     """
     spark = docs.sparkSession
-    wanted = items.where(F.col(item_id).isNotNull()).select(F.col(item_id), F.col(prompt).cast("string"))
+    wanted = items.where(F.col(item_id).isNotNull()).select(F.col(item_id), F.col(prompt).cast("string"), F.col(answer).cast("string") if answer else F.lit(None).cast("string"))
     if wanted.count() > MAX_ITEMS:
         raise ValueError("too many evaluation items for one index; search them in parts")
-    rows = [(r[0], r[1]) for r in wanted.collect()]
-    shared = spark.sparkContext.broadcast(Index.build(rows))
+    rows, answers = wanted.collect(), defaultdict(list)
+    for r in rows:
+        if own := words_of(r[2] or ""):
+            answers[r[0]].append(own)
+    if sum(len(x) for own in answers.values() for x in own) > MAX_INDEX_WORDS:
+        raise ValueError("the evaluation set is too large for one index; search it in parts")
+    shared = spark.sparkContext.broadcast((Index.build([(r[0], r[1]) for r in rows]), dict(answers)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
+        index, held = shared.value
         for batch in batches:
             texts, at = batch.column(1).to_pylist(), 0
             while at < len(texts):
@@ -315,13 +331,18 @@ def leaked_items(
                     to += 1
                 cases = index.search(texts[at:to])
                 where = pa.array([at + w for w, _ in cases], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(where), pa.array([i for _, i in cases], item_type)], names=["doc", "item"])
+                columns = [batch.column(0).take(where), pa.array([i for _, i in cases], item_type)]
+                if answer:
+                    words = {w: np.array(words_of(texts[at + w]), object) for w, _ in cases}
+                    shares = [max((answer_share(x, words[w]) for x in held.get(i, ())), default=None) for w, i in cases]
+                    columns.append(pa.array(shares, pa.float64()))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc", "item", "answer_share"][: len(columns)])
                 at = to
 
     narrow = docs.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text")).where(F.length("text") > 0)
     kinds = narrow.schema["doc"].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     item_type = to_arrow_type(items.schema[item_id].dataType)
-    return spread(narrow).mapInArrow(run, f"doc {kinds[0]}, item {kinds[1]}").withColumnsRenamed({"doc": doc_id, "item": item_id})
+    return spread(narrow).mapInArrow(run, f"doc {kinds[0]}, item {kinds[1]}" + ", answer_share double" * bool(answer)).withColumnsRenamed({"doc": doc_id, "item": item_id})
 
 
 __all__ = ["Index", "aligned", "leaked_items", "plain", "question_words"]

@@ -59,12 +59,17 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "eval_items", "item_id", "prompt"))
 
 
+def p8_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cases of p8_found, with how much of the answer the document holds."""
+    return leaked_items(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "eval_items", "item_id", "prompt", "answer"), answer="answer")
+
+
 def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "split_limits"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p3_found, p3_lift, p3_pairs, p4_found, p4_counts, p7_ids, p8_found, p9_pieces)}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_lift, p3_pairs, p4_found, p4_counts, p7_ids, p8_found, p8_answers, p9_pieces)}
 
 
 _PAIRS = """

@@ -133,3 +133,14 @@ def test_every_part_of_a_question_is_indexed(items):
     first, second = (" ".join(rng.choice(WORDS) for _ in range(n)) for n in (30, 45))
     index = Index.build([*rows, (70, f"{first}. {NOTICE} {second}?")])
     assert index.search([first, second, f"{second} {first}", NOTICE]) == [(0, 70), (1, 70), (2, 70)]
+
+
+def test_answers(spark, items):
+    rows, _ = items
+    texts = [f"{' '.join(question(rows, 3))}? The Red, LAMP falls.", f"{' '.join(question(rows, 4))} red falls", " ".join(question(rows, 5))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    answers = {3: "red lamp falls", 4: "red lamp falls", 5: None}
+    evals = spark.createDataFrame([(*r, answers.get(r[0], "")) for r in rows], "item_id int, prompt string, answer string")
+    got = {tuple(r) for r in leaked_items(docs, evals, answer="answer").collect()}
+    assert got == {(0, 3, 1.0), (1, 4, 1 / 3), (2, 5, None)}
+    assert leaked_items(docs, evals).columns == ["doc_id", "item_id"]
