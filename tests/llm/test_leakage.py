@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from aislewise.llm import leakage
-from aislewise.llm.leakage import Index, aligned, leaked_items, question_words
+from aislewise.llm.leakage import Index, aligned, leaked_items
 from aislewise.llm.words import words_of
 
 NOTICE = "Offers are valid only while supplies last and may not be combined with any other store promotion unless the label says so."
@@ -34,8 +34,12 @@ def items():
 
 def test_notices_are_cut(items):
     rows, _ = items
-    for i, q in enumerate(question_words([words_of(p) for _, p in rows])):
-        assert q == words_of(" ".join(question(rows, i)))
+    index = Index.build(rows)
+    words = list(index.vocab)
+    assert index.ids == [i for i, _ in rows]
+    for i in range(len(rows)):
+        whole = " ".join(words[c] for c in index.question(i))
+        assert whole == " ".join(words_of(" ".join(question(rows, i)).replace("cotton-swab", "cottonswab")))
 
 
 def test_disguises(items):
@@ -80,7 +84,7 @@ def test_alignment_and_search_against_brute_force(items, monkeypatch):
     cases = 0
     for _ in range(120):
         i = rng.randrange(len(rows))
-        q = index.questions[i].tolist()
+        q = index.question(i).tolist()
         a = rng.randint(0, len(q) - 24)
         span = q[a : a + rng.randint(18, len(q) - a)]
         out = []
@@ -101,13 +105,20 @@ def test_alignment_and_search_against_brute_force(items, monkeypatch):
 def test_block_maxima_lose_nothing(items):
     rows, rng = items
     index = Index.build(rows)
-    for _ in range(50):
-        terms = np.unique(np.array(rng.sample(range(len(index.term_key)), 60)))
+    some = 0
+    for _ in range(200):
+        terms = rng.sample(range(len(index.term_key)), 60)
+        for i in rng.sample(range(len(rows)), 5):  # and parts of questions, some of them long enough
+            own = np.flatnonzero(index.posting % len(rows) == i)[rng.randrange(20) :][: rng.randrange(30)]
+            terms += (index.posting[own] // len(rows)).tolist()
+        terms = np.unique(np.array(terms))
         score = np.zeros(len(rows))
         for t in terms:
             for k in range(index.first[t], index.first[t + 1]):
-                score[index.item[k]] += index.weight[k]
+                score[index.posting[k] % len(rows)] += index.weight[k]
         assert index.retrieve(terms).tolist() == np.flatnonzero(score >= 1).tolist()
+        some += (score >= 1).sum()
+    assert some > 100
 
 
 def test_frames(spark, items):
@@ -120,11 +131,16 @@ def test_frames(spark, items):
     assert leaked_items(docs, evals.limit(0)).count() == 0
 
 
-def test_bound(spark, items, monkeypatch):
-    monkeypatch.setattr(leakage, "MAX_ITEMS", 3)
-    evals = spark.createDataFrame(items[0], "item_id int, prompt string")
-    with pytest.raises(ValueError, match="too many"):
-        leaked_items(spark.createDataFrame([(1, "x")], "doc_id int, text string"), evals)
+def test_parts(spark, items, monkeypatch):
+    """Sets larger than one index are searched in parts, with the notices of the whole set."""
+    rows, rng = items
+    texts = [f"{NOTICE} {' '.join(question(rows, i))}" for i in range(0, 40, 3)] + [NOTICE, f"{' '.join(question(rows, 2))} {' '.join(question(rows, 1))}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    evals = spark.createDataFrame([(*r, f"answer {r[0]}") for r in rows] + [(50, rows[0][1], None), (51, None, "x")], "item_id int, prompt string, answer string")
+    whole = sorted(map(tuple, leaked_items(docs, evals, answer="answer").collect()))
+    monkeypatch.setattr(leakage, "MAX_ITEMS", 7)
+    assert sorted(map(tuple, leaked_items(docs, evals, answer="answer").collect())) == whole
+    assert (0, 50) in {r[:2] for r in whole} and len(whole) == 17
 
 
 def test_every_part_of_a_question_is_indexed(items):
@@ -144,3 +160,64 @@ def test_answers(spark, items):
     got = {tuple(r) for r in leaked_items(docs, evals, answer="answer").collect()}
     assert got == {(0, 3, 1.0), (1, 4, 1 / 3), (2, 5, None)}
     assert leaked_items(docs, evals).columns == ["doc_id", "item_id"]
+
+
+def test_shared_questions_are_reported(items):
+    """Items with the same prompt, and two items over one passage: both are found; from three prompts on a passage is a notice."""
+    rows, rng = items
+    passage, *tails = (" ".join(rng.choice(WORDS) for _ in range(n)) for n in (60, 30, 30, 30))
+    index = Index.build([*rows, (80, passage), (81, passage + "?"), (82, passage.upper())])
+    assert sorted(index.search([passage])) == [(0, 80), (0, 81), (0, 82)]
+    index = Index.build([*rows, (80, f"{passage} {tails[0]}"), (81, f"{passage} {tails[1]}")])
+    assert sorted(index.search([passage, tails[1]])) == [(0, 80), (0, 81), (1, 81)]
+    index = Index.build([*rows, *((80 + i, f"{passage} {t}") for i, t in enumerate(tails))])
+    assert sorted(index.search([passage, tails[1]])) == [(1, 81)]
+
+
+def test_compounds_that_share_a_part(items):
+    rows, rng = items
+    q = [rng.choice(WORDS) for _ in range(30)]
+    index = Index.build([(1, " ".join([*q[:15], "aa-bb", *q[15:]])), (2, " ".join([*q[::-1], "bb-cc"]))])
+    for middle in ("aa bb", "aabb", "aa-bb"):
+        assert index.search([" ".join([*q[4:15], middle, *q[15:25]])]) == [(0, 1)]
+    assert index.codes(["aa bb cc"])[0].tolist() == [index.vocab["aabb"], index.vocab["cc"]]
+
+
+def test_recall_of_mixed_prompts():
+    """Notices in front, in the middle and behind, equal prompts, shared passages and long prompts, against plain dynamic programming."""
+    rng = random.Random(5)
+    words = [f"{a}{b}{c}" for a in "bcdfg" for b in ("am", "el", "or", "un") for c in ("ta", "ki", "so")]
+
+    def some(n):
+        return [rng.choice(words) for _ in range(n)]
+
+    notice, shared, long = NOTICE.split(), some(40), some(400)
+    parts = [[some(30), notice, some(40)] for _ in range(4)] + [[shared, some(25)], [shared, some(25)], [long], [some(26), notice], [notice, some(26)]]
+    parts += [parts[0], parts[3]]
+    index = Index.build([(i, " ".join(w for p in own for w in p)) for i, own in enumerate(parts)])
+    found = truth = 0
+    for _ in range(60):
+        own = rng.choice(parts)
+        p = rng.choice([x for x in own if x is not notice])
+        a = rng.randint(0, len(p) - 22)
+        span = [w if rng.random() > 0.11 else "other" for w in p[a : a + rng.randint(20, 60)]]
+        d = some(rng.randint(0, 100)) + span + some(rng.randint(0, 100))
+        got = {i for _, i in index.search([" ".join(d)])}
+        for i, own_ in enumerate(parts):
+            case = any(edit_cases([w.lower() for w in x], d) for x in own_ if x is not notice and x is p)
+            truth += case
+            found += case and i in got
+    assert truth > 40 and found == truth
+
+
+def test_size_of_the_index():
+    """Linear in the words, with a vocabulary of any size; a long prompt costs no more than its words."""
+    import time
+
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join(f"w{k}" for k in rng.integers(0, 20_000, 50))) for i in range(4000)] + [(4000, " ".join(f"w{k}" for k in rng.integers(0, 20_000, 3000)))]
+    began = time.time()
+    index = Index.build(rows)
+    held = sum(a.nbytes for a in vars(index).values() if isinstance(a, np.ndarray))
+    assert held < 20_000_000 and time.time() - began < 20
+    assert index.search([rows[7][1], " ".join(rows[4000][1].split()[1500:1530])]) == [(0, 7), (1, 4000)]
