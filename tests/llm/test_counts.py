@@ -133,3 +133,32 @@ def test_sparse_groups(spark):
     df = spark.createDataFrame(rows, "k int, t int, c int")
     got = {tuple(r) for r in sparse_groups(df, ["k"], "t", "c", 10, 6).collect()}
     assert got == {("k", "1"), ("k", "4")}
+
+
+def test_sparse_groups_at_every_stage(spark, monkeypatch):
+    """With few registers: groups settled by the first sketch, by the second and by exact counts; the same result as plain sets."""
+    from aislewise.llm import distinct
+
+    rng = random.Random(8)
+    rows = []
+    for k in range(60):
+        n = rng.randint(5, 900)
+        d = max(1, int(n * rng.choice([0.02, 0.1, 0.16, 0.17, 0.2, 0.9])))
+        rows += [(k, f"d{k % 7}", f"{k}-{i}", rng.randrange(d) if rng.random() > 0.05 else None) for i in range(n)]
+    rows += rows[:300] + [(None, None, "x", 1), (99, None, None, 2)]
+    df = spark.createDataFrame(rows, "k int, g string, t string, c int")
+    expect = set()
+    for field, at in (("k", 0), ("g", 1)):
+        t, c = defaultdict(set), defaultdict(set)
+        for r in rows:
+            if r[at] is not None:
+                t[r[at]] |= {r[2]} - {None}
+                c[r[at]] |= {r[3]} - {None}
+        expect |= {(field, str(k)) for k in t if len(t[k]) >= 10 and 6 * len(c[k]) < len(t[k])}
+    open_ = []
+    decide = distinct._decide
+    monkeypatch.setattr(distinct, "_decide", lambda *a: open_.append(decide(*a)) or open_[-1])
+    got = [tuple(r) for r in sparse_groups(df, ["k", "g"], "t", "c", 10, 6, (151, 601)).collect()]
+    assert len(got) == len(set(got)) and set(got) == expect
+    first, second = ({tuple(r) for r in o.collect()} for _, o in open_)
+    assert 0 < len(second) < len(first) < 67 and all(d.count() for d, _ in open_)
