@@ -17,8 +17,10 @@ from py4j.java_gateway import JavaObject
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Buckets of a store; more would make the manifest more than a few MB.
+#: Buckets of a store, as many as 54 years of days; more would make the manifest more than a few MB.
 MAX_BUCKETS = 20_000
+#: Units of a bucket, and at least how many days after its first day the next one begins within.
+UNITS = {"day": 1, "week": 7, "month": 31, "quarter": 92, "year": 366}
 
 
 @dataclass(frozen=True)
@@ -35,11 +37,15 @@ class Events:
     once: str
     types: Sequence[str] = ()
     amount: str | None = None  # an integer
-    bucket: str = "month"  # a unit of date_trunc
+    bucket: str = "month"  # day, week, month, quarter or year
+
+    def __post_init__(self) -> None:
+        if self.bucket not in UNITS:
+            raise ValueError(f"a bucket must be one of {', '.join(UNITS)}")
 
     def bucket_of(self) -> Column:
         """The bucket's first day as text; events without a time have a bucket of their own."""
-        return F.coalesce(F.date_format(F.trunc(F.col(self.time), self.bucket), "yyyy-MM-dd"), F.lit("none"))
+        return F.coalesce(F.date_format(F.date_trunc(self.bucket, F.col(self.time)), "yyyy-MM-dd"), F.lit("none"))
 
 
 class FeatureStore:
@@ -67,10 +73,11 @@ class FeatureStore:
         )
 
     def fingerprints(self, rows: DataFrame) -> dict[str, tuple[int, int]]:
-        """Rows and an order-free hash of each bucket; one row per bucket reaches the driver."""
+        """Rows with an entity and an order-free hash of each bucket; one row per bucket reaches the driver."""
         e = self.of
         columns = [e.entity, e.time, e.once, *e.types, *([e.amount] if e.amount else [])]
-        found = rows.groupBy(e.bucket_of().alias("b")).agg(F.count(F.lit(1)).alias("n"), F.expr(f"bit_xor(xxhash64({', '.join(f'`{c}`' for c in columns)}, 1))").alias("h"), F.sum(F.expr(f"xxhash64({', '.join(f'`{c}`' for c in columns)}, 2) % 1000003")).alias("s"))
+        hashed = F.xxhash64(*columns, F.lit(1)), F.xxhash64(*columns, F.lit(2))
+        found = rows.where(F.col(e.entity).isNotNull()).groupBy(e.bucket_of().alias("b")).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(hashed[0]).alias("h"), F.sum(hashed[1] % 1000003).alias("s"))
         got = found.limit(MAX_BUCKETS + 1).collect()
         if len(got) > MAX_BUCKETS:
             raise ValueError("too many buckets; choose a longer one")
@@ -89,6 +96,13 @@ class FeatureStore:
 
     def manifest(self) -> dict[str, tuple[int, int, str]]:
         """Rows, hash and folder of each bucket, from the newest manifest."""
+        return {b: (n, h, folder) for b, (n, h, folder) in self._read_manifest().get("buckets", {}).items()}
+
+    def version(self) -> str | None:
+        """The version of the events that the last update was given."""
+        return self._read_manifest().get("version")
+
+    def _read_manifest(self) -> dict:
         names = self._manifests()
         if not names:
             return {}
@@ -98,29 +112,32 @@ class FeatureStore:
             text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
-        return {b: (n, h, folder) for b, (n, h, folder) in json.loads(text).items()}
+        return json.loads(text)
 
-    def _write_manifest(self, entries: dict[str, tuple[int, int, str]]) -> None:
+    def _write_manifest(self, entries: dict[str, tuple[int, int, str]], version: str | None) -> None:
         """Write under another name, then rename: a reader sees a whole manifest or none."""
         files, at = self._files()
         names, path = self._manifests(), self.spark._jvm.org.apache.hadoop.fs.Path
         number = int(names[-1].split(".")[0]) + 1 if names else 0
         part = path(at, f"{number:010d}.part")
         out = files.create(part, True)
-        out.write(bytearray(json.dumps(entries).encode()))
+        out.write(bytearray(json.dumps({"version": version, "buckets": entries}).encode()))
         out.close()
         if not files.rename(part, path(at, f"{number:010d}.json")):
             raise OSError("another update wrote this store's manifest at the same time")
 
-    def update(self, rows: DataFrame) -> list[str]:
+    def update(self, rows: DataFrame, version: str | None = None) -> list[str]:
         """Bring the store up to all events given; the buckets that were recomputed, in order.
 
         The manifest is written last, so an update that breaks off leaves the store as it was. Buckets without events
-        any more are dropped.
+        any more are dropped. `version` is a text that names the state of the events, such as a table's snapshot: if the
+        last update was given the same, nothing is read.
         """
+        if version is not None and version == self.version():
+            return []
         old, new = self.manifest(), self.fingerprints(rows)
         changed = sorted(b for b, (n, h) in new.items() if old.get(b, (None, None))[:2] != (n, h))
-        if not changed and old.keys() == new.keys():
+        if not changed and old.keys() == new.keys() and version is None:
             return []
         folder = f"data/{uuid.uuid4().hex}"
         if changed:
@@ -128,8 +145,10 @@ class FeatureStore:
             inside = rows.where(bucket.isin(changed)) if len(changed) < len(new) else rows
             # types stay inside the bucket: partial aggregates are keyed by it
             keyed = FeatureStore(self.spark, self.path, Events(self.of.entity, self.of.time, self.of.once, [*self.of.types, "__bucket"], self.of.amount))
-            keyed._partials(inside.withColumn("__bucket", bucket)).withColumnRenamed("__bucket", "bucket").write.partitionBy("bucket").option("compression", "zstd").parquet(f"{self.path}/{folder}")
-        self._write_manifest({b: (n, h, f"{folder}/bucket={b}" if b in changed else old[b][2]) for b, (n, h) in sorted(new.items())})
+            partials = keyed._partials(inside.withColumn("__bucket", bucket)).withColumnRenamed("__bucket", "bucket")
+            # a few files of even size per bucket, instead of one of each task
+            partials.hint("rebalance", F.col("bucket")).write.partitionBy("bucket").option("compression", "zstd").parquet(f"{self.path}/{folder}")
+        self._write_manifest({b: (n, h, f"{folder}/bucket={b}" if b in changed else old[b][2]) for b, (n, h) in sorted(new.items())}, version)
         return changed
 
     # ---- features
@@ -178,13 +197,13 @@ class FeatureStore:
         """Last day of each bucket."""
         import datetime as dt
 
-        step = {"month": 31, "quarter": 92, "year": 366, "week": 7}[self.of.bucket]
+        step = UNITS[self.of.bucket]
         ends = {}
         for b in buckets:
             if b != "none":
                 d = dt.date.fromisoformat(b)
                 after = d + dt.timedelta(step)
-                if self.of.bucket != "week":
+                if self.of.bucket not in ("day", "week"):
                     after = after.replace(day=1)
                 ends[b] = (after - dt.timedelta(1)).isoformat()
         return ends

@@ -1,8 +1,14 @@
-"""Queries on skewed keys (p2), per-entity features (p5) and trailing periods (p6)."""
+"""Queries on skewed keys (p2), per-entity features (p5) and trailing periods (p6).
+
+The stores of the feature queries persist below the folder named by the setting `spark.aislewise.features`, and a later
+run recomputes only what has changed; where it is unset, they live as long as the session.
+"""
 
 from __future__ import annotations
 
 import datetime as dt
+import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,13 +17,14 @@ from aislewise.operators.feature_store import Events, FeatureStore, clean_number
 from aislewise.operators.rolling import trailing_totals
 from aislewise.operators.skew import frequent_keys, key_quantiles, key_totals, skew_join
 from aislewise.staging import new_path
-from aislewise.tables import table
+from aislewise.tables import table, version
 
-#: The categories of the catalogue and the kinds of discount, as columns of the feature table.
+#: The categories and kinds of discount in the test tables, for the SQL; the query takes them from the data.
 CATEGORIES = (
-    "allergy", "baby", "beverages", "cosmetics", "cough & cold", "digestive", "first aid", "hair care", "household", "oral care", "pain relief", "pharmacy", "skin care", "snacks", "vitamins",
+    "allergy", "baby", "beverages", "cosmetics", "cough & cold", "digestive", "first aid", "hair care", "household", "none", "oral care", "pain relief", "pharmacy", "skin care", "snacks", "vitamins",
 )
 DISCOUNTS = ("percent_off", "dollar_off", "bogo")
+MAX_TYPES = 2000
 TXN = Events(entity="customer_id", time="date", once="transaction_id", amount="cents")
 CLIP = Events(entity="number", time="clip_date", once="clip_id", types=("discount_type", "category", "redeemed"))
 
@@ -57,7 +64,7 @@ def _clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     category = F.replace(F.lower(F.trim("category")), F.lit(" and "), F.lit(" & "))
     products = table(spark, sf_dir, "products").select("product_id", F.coalesce(category, F.lit("none")).alias("category"))
     clips = table(spark, sf_dir, "coupon_clips").select(
-        clean_number("loyalty_number").alias("number"), "clip_date", "clip_id", F.lower(F.trim("discount_type")).alias("discount_type"), F.coalesce("redeemed", F.lit(False)).alias("redeemed"), "product_id"
+        clean_number("loyalty_number").alias("number"), "clip_date", "clip_id", F.coalesce(F.lower(F.trim("discount_type")), F.lit("no kind")).alias("discount_type"), F.coalesce("redeemed", F.lit(False)).alias("redeemed"), "product_id"
     )
     return clips.join(products, "product_id", "left").withColumn("category", F.coalesce("category", F.lit("none"))).drop("product_id")
 
@@ -66,55 +73,78 @@ def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customers").select(F.col("customer_id").cast("bigint").alias("customer_id"), clean_number("loyalty_number").alias("number"))
 
 
-def _store(spark: SparkSession, events: Events, *states: DataFrame) -> FeatureStore:
-    """A store brought up to each of the given states of its events in turn."""
-    store = FeatureStore(spark, new_path(spark, "features"), events)
-    for rows in states:
-        store.update(rows)
+def _store(spark: SparkSession, sf_dir: str, name: str, events: Events, sources: Sequence[str], *states: DataFrame) -> FeatureStore:
+    """The store of that name, brought up to each of the given states of its events in turn."""
+    kept = spark.conf.get("spark.aislewise.features", None)
+    store = FeatureStore(spark, f"{kept.rstrip('/')}/{name}" if kept else new_path(spark, "features"), events)
+    for i, rows in enumerate(states):
+        store.update(rows, f"{version(spark, sf_dir, *sources)} {i}" if kept else None)
     return store
 
 
+def _bought(spark: SparkSession, sf_dir: str) -> FeatureStore:
+    return _store(spark, sf_dir, "transactions", TXN, ["transactions"], _transactions(spark, sf_dir))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     clips = table(spark, sf_dir, "coupon_clips").select(clean_number("loyalty_number").alias("number"), "clip_date", "clip_id", F.coalesce("redeemed", F.lit(False)).alias("redeemed"))
-    redeemed = _store(spark, Events("number", "clip_date", "clip_id", ("redeemed",)), clips).merged().where("redeemed").select(F.col("entity").alias("number"), "n")
-    bought = _store(spark, TXN, _transactions(spark, sf_dir)).merged().select(F.col("entity").alias("customer_id"))
+    store = _store(spark, sf_dir, "redeemed", Events("number", "clip_date", "clip_id", ("redeemed",)), ["coupon_clips"], clips)
+    redeemed = store.merged(clips).where("redeemed").select(F.col("entity").alias("number"), "n")
+    bought = _bought(spark, sf_dir).merged(_transactions(spark, sf_dir)).select(F.col("entity").alias("customer_id"))
     return _customers(spark, sf_dir).join(redeemed.where("n >= 2"), "number").join(bought, "customer_id", "left_anti").select("customer_id")
 
 
-def _features(people: DataFrame, bought: DataFrame, clipped: DataFrame, as_of: str) -> DataFrame:
-    """One row per customer from merged partial aggregates."""
+def _types(partials: DataFrame, column: str) -> dict[str, str]:
+    """The types of a column in the data, with a name for each; an error beyond MAX_TYPES, which no table has columns for."""
+    found = sorted(r[0] for r in partials.select(column).where(F.col(column).isNotNull()).distinct().limit(MAX_TYPES + 1).collect())
+    if len(found) > MAX_TYPES:
+        raise ValueError(f"more than {MAX_TYPES} types of {column}; group them first")
+    names: dict[str, str] = {}
+    for kind in found:
+        name = _name(kind)
+        while name in names.values():
+            name += "_"
+        names[kind] = name
+    return names
+
+
+def _features(people: DataFrame, bought: DataFrame, clipped: DataFrame, all_clipped: DataFrame, as_of: str) -> DataFrame:
+    """One row per customer from merged partial aggregates, with columns for each type of clip in `all_clipped`."""
     day = F.lit(as_of).cast("date")
     t = bought.select(F.col("entity").alias("customer_id"), F.col("n").alias("purchases"), F.col("total").alias("spent_cents"), F.datediff(day, "last").alias("days_since_purchase"))
+    discounts, categories = _types(all_clipped, "discount_type"), _types(all_clipped, "category")
 
     def count(condition: Column, name: str) -> Column:
         return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0)).alias(name)
 
     c = clipped.groupBy(F.col("entity").alias("number")).agg(
         count(F.lit(True), "clips"), count(F.col("redeemed"), "redeemed"), F.datediff(day, F.max("last")).alias("days_since_clip"),
-        *(count(F.col("discount_type") == d, f"clips_{d}") for d in DISCOUNTS), *(count(F.col("category") == k, f"clips_{_name(k)}") for k in CATEGORIES),
-        *(count(F.col("redeemed") & (F.col("category") == k), f"redeemed_{_name(k)}") for k in CATEGORIES),
+        *(count(F.col("discount_type") == d, f"clips_{n}") for d, n in discounts.items()), *(count(F.col("category") == k, f"clips_{n}") for k, n in categories.items()),
+        *(count(F.col("redeemed") & (F.col("category") == k), f"redeemed_{n}") for k, n in categories.items()),
     )
     wide = people.join(t, "customer_id", "left").join(c, "number", "left").drop("number")
     return wide.na.fill(0, [x for x in wide.columns if not x.startswith("days_") and x != "customer_id"])
 
 
-def _name(category: str) -> str:
-    return category.replace(" & ", "_").replace(" ", "_")
+def _name(kind: str) -> str:
+    return re.sub(r"[^0-9a-z]+", "_", kind.lower()).strip("_") or "blank"
 
 
 def p5_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features over all events, as of the end of 2024."""
-    bought = _store(spark, TXN, _transactions(spark, sf_dir)).merged()
-    clipped = _store(spark, CLIP, _clips(spark, sf_dir)).merged()
-    return _features(_customers(spark, sf_dir), bought, clipped, "2024-12-31")
+    bought = _bought(spark, sf_dir).merged(_transactions(spark, sf_dir))
+    clips = _clips(spark, sf_dir)
+    clipped = _store(spark, sf_dir, "clips", CLIP, ["coupon_clips", "products"], clips).merged(clips)
+    return _features(_customers(spark, sf_dir), bought, clipped, clipped, "2024-12-31")
 
 
 def p5_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features of 2024-10-15 to 2024-12-20 from stores that saw the events up to June first and then all of them."""
     bought, clipped = _transactions(spark, sf_dir), _clips(spark, sf_dir)
-    a = _store(spark, TXN, bought.where("date < DATE '2024-07-01'"), bought).merged(bought, "2024-10-15", "2024-12-20")
-    b = _store(spark, CLIP, clipped.where("clip_date < DATE '2024-07-01'"), clipped).merged(clipped, "2024-10-15", "2024-12-20")
-    return _features(_customers(spark, sf_dir), a, b, "2024-12-20")
+    a = _store(spark, sf_dir, "transactions_twice", TXN, ["transactions"], bought.where("date < DATE '2024-07-01'"), bought)
+    b = _store(spark, sf_dir, "clips_twice", CLIP, ["coupon_clips", "products"], clipped.where("clip_date < DATE '2024-07-01'"), clipped)
+    period = "2024-10-15", "2024-12-20"
+    return _features(_customers(spark, sf_dir), a.merged(bought, *period), b.merged(clipped, *period), b.merged(clipped), "2024-12-20")
 
 
 def _trailing(spark: SparkSession, sf_dir: str, windows: list[int], above: dict[int, int] | None = None) -> DataFrame:
