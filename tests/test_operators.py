@@ -39,6 +39,8 @@ def test_top_k(spark, monkeypatch):
     unit = v.astype(np.float32).astype(float) / np.where(n > 1e-10, n, 1)[:, None]
     for sent in (20_000, 7):
         monkeypatch.setattr(vectors, "SENT_VECTORS", sent)
+        monkeypatch.setattr(vectors, "BLOCK_VECTORS", 17)
+        monkeypatch.setattr(vectors, "_ROWS", 5)
         got = {}
         for r in vectors.top_k_cosine(df, df, "id", "v", 4).collect():
             got.setdefault(r["query_id"], {})[r["place"]] = r["id"]
@@ -55,6 +57,47 @@ def test_top_k(spark, monkeypatch):
     assert abs(total[3]["total"] - (every @ v[3].astype(np.float32)).sum()) < 1e-4
 
 
+def test_grid_of_blocks(spark, monkeypatch):
+    """Both sides large: the same results, and nothing is collected while it is planned or run."""
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(90, 6)))] + [(None, [1.0] * 6), (500, None)], "id int, v array<double>")
+    small = df.where("id % 4 = 0")
+    runs = [
+        lambda: vectors.affinity(df, small, "id", "v", 0.3).select("id", F.round("total", 9), "above", F.round("average", 9)),
+        lambda: vectors.all_pairs(df, small, "id", "v", 0.5).withColumn("score", F.round("score", 9)),
+        lambda: vectors.all_pairs(df, small, "id", "v").withColumn("score", F.round("score", 9)),
+        lambda: vectors.top_k_cosine(small, df, "id", "v", 3),
+    ]
+    expect = [sorted(map(tuple, f().collect())) for f in runs]
+    assert len(expect[2]) == 90 * 23 and len(expect[3]) == 69
+    monkeypatch.setattr(vectors, "SENT_VECTORS", 5)
+    monkeypatch.setattr(vectors, "BLOCK_VECTORS", 16)
+    with monkeypatch.context() as m:
+        m.setattr(type(df), "collect", None)
+        m.setattr(type(df), "toPandas", None)
+        frames = [f() for f in runs]
+    assert [sorted(map(tuple, f.collect())) for f in frames] == expect
+    monkeypatch.setattr(vectors, "SENT_VECTORS", 20_000)
+    monkeypatch.setattr(vectors, "BLOCK_VECTORS", 32_768)
+    many = spark.range(100_000).select("id", F.array_repeat(F.col("id").cast("double"), 4).alias("v"))
+    with monkeypatch.context() as m:
+        m.setattr(type(df), "collect", None)
+        plan = vectors.top_k_cosine(many, many, "id", "v", 10)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "BroadcastExchange" not in plan
+
+
+def test_mean_vectors(spark):
+    rows = [(i % 3 if i % 7 else None, [float(i), i * 0.5]) for i in range(40)] + [(1, None)]
+    df = spark.createDataFrame(rows, "g int, v array<float>")
+    got = {r["g"]: (r["n"], r["v"]) for r in vectors.mean_vectors(df, "g", "v").collect()}
+    for g in (0, 1, 2, None):
+        own = np.array([v for k, v in rows if k == g and v])
+        assert got[g][0] == len(own) and np.allclose(got[g][1], own.mean(axis=0))
+    whole = vectors.mean_vectors(df, None, "v", True).collect()[0]
+    assert whole["n"] == 40 and abs(np.linalg.norm(whole["v"]) - 1) < 1e-12
+    assert vectors.mean_vectors(df.limit(0), "g", "v").count() == 0 == vectors.mean_vectors(df.limit(0), None, "v").count()
+
+
 def test_greedy_ranking(spark):
     rng = random.Random(3)
     rows = [(c, p, round(rng.random(), 1), rng.choice("abc"), rng.random()) for c in range(6) for p in range(70)] + [(1, 99, float("nan"), "a", 0.1), (1, 98, None, "a", 0.1)]
