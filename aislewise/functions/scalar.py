@@ -41,6 +41,17 @@ def lookup(key: Column, values: Mapping[str, object], default: object) -> Column
     return F.coalesce(F.try_element_at(F.create_map(*pairs), key), F.lit(default))
 
 
+def draw(*keys: Column | str | int) -> Column:
+    """A uniform number in [0, 1) from the first 32 bits of the MD5 of the keys."""
+    text = F.concat_ws("|", *(F.lit(k).cast("string") if isinstance(k, int) else (F.col(k) if isinstance(k, str) else k).cast("string") for k in keys))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / 4294967296.0
+
+
+def title(text: Column) -> Column:
+    """Each run of letters with a capital first and small letters behind; other characters stay."""
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"(\p{L}+|\P{L}+)")), lambda run: F.initcap(F.lower(run))), "")
+
+
 def clip(value: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(value, F.lit(high)))
 

@@ -10,11 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aislewise.functions.scalar import clip, ratio
+from aislewise.functions.scalar import clip, draw, money_sum, ratio
 
 #: An offer of two for one, the cap on money off as a share of the price, the least rate whose logarithm is
 #: taken, the largest discount, the organic share above which discounts are scaled down, and the sensitivity's terms.
 TWO_FOR_ONE, MONEY_CAP, LEAST_RATE, MOST_DISCOUNT, MOSTLY_ORGANIC, ORGANIC_BASE, WEAK_RESPONSE = 0.5, 0.6, 1e-6, 0.5, 0.5, 0.3, 0.1
+#: What may be left of an exact fit after rounding.
+NO_ERROR = 1e-15
 
 
 def capped_discount(kind: str, value: str, price: str, cap: float, other: float) -> Column:
@@ -86,7 +88,8 @@ def weighted_slopes(points: DataFrame, key: str, x: str, y: str, weight: str) ->
     sums = points.join(means, key).groupBy(key, "points").agg(F.sum(w * dx * dx).alias("sxx"), F.sum(w * dx * dy).alias("sxy"), F.sum(w * dy * dy).alias("syy"))
     beta = F.col("sxy") / F.col("sxx")
     dof = F.greatest(F.col("points") - 2, F.lit(1))
-    error = F.greatest(F.col("syy") - beta * F.col("sxy"), F.lit(0.0))
+    error = F.col("syy") - beta * F.col("sxy")
+    error = F.when(error > NO_ERROR, error).otherwise(0.0)
     se = F.when(F.col("points") > 2, F.sqrt(error / dof / F.col("sxx")))
     fitted = sums.select(key, "points", beta.alias("beta"), se.alias("se"), dof.cast("double").alias("dof"))
     return fitted.withColumn("p_value", F.when(F.col("se") > 0, t_two_sided(F.col("beta") / F.col("se"), F.col("dof")))).drop("dof")
@@ -103,6 +106,21 @@ def response_points(levels: DataFrame, keys: Sequence[str], least_clips: int, le
     return points
 
 
+def organic_strength(tx: DataFrame, features: DataFrame | None = None, key: str = "transaction_id", share: float = 1.0, seed: int = 42) -> DataFrame:
+    """(product_id, organic_ratio, discount_ratio, revenue, units, redemption_rate, clips) from product features or, without them, from purchases.
+
+    `share` takes a sample of the purchases, drawn by `key`: the same rows in every run.
+    """
+    if features is not None:
+        return features.select("product_id", "organic_ratio", (1 - F.col("organic_ratio")).alias("discount_ratio"), "revenue", "units", F.coalesce("redemption_rate", F.lit(0.0)).alias("redemption_rate"), F.coalesce("clips", F.lit(0)).cast("bigint").alias("clips"))
+    rows = tx if share >= 1 else tx.where(draw(seed, key) < share)
+    off = F.coalesce("discount_pct", F.lit(0.0))
+    return rows.groupBy("product_id").agg(
+        ratio(F.count(F.when(off == 0, 1)), F.count(F.lit(1))).alias("organic_ratio"), ratio(F.count(F.when(off > 0, 1)), F.count(F.lit(1))).alias("discount_ratio"),
+        money_sum("subtotal").alias("revenue"), F.sum("quantity").alias("units"), F.lit(0.0).alias("redemption_rate"), F.lit(0).cast("bigint").alias("clips"),
+    )
+
+
 def with_fallback(products: DataFrame, by_product: DataFrame, by_category: DataFrame) -> DataFrame:
     """(product_id, category, beta, source): a product's own slope, else its category's, else 0."""
     own = by_product.select("product_id", F.col("beta").alias("b1"))

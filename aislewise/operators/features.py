@@ -94,10 +94,15 @@ def coupon_tiers(features: DataFrame) -> DataFrame:
     return cut.withColumn("tier", tier).drop("c30", "c70", "u50", "u70")
 
 
+def repeated() -> Column:
+    """The share of a group's pairs (of product and customer, with their rows n) that have two rows or more."""
+    return ratio(F.sum(F.when(F.col("n") >= 2, 1).otherwise(0)), F.count(F.lit(1)))
+
+
 def repeat_rates(tx: DataFrame) -> DataFrame:
     """Per product, the share of its customers with two purchases or more."""
     pairs = tx.groupBy("product_id", "customer_id").agg(F.count(F.lit(1)).alias("n"))
-    return pairs.groupBy("product_id").agg(ratio(F.sum(F.when(F.col("n") >= 2, 1).otherwise(0)), F.count(F.lit(1))).alias("repeat_rate"))
+    return pairs.groupBy("product_id").agg(repeated().alias("repeat_rate"))
 
 
 def basket_sizes(tx: DataFrame) -> DataFrame:
@@ -115,9 +120,10 @@ def revenue_tiers(tx: DataFrame, discounted_above: float = 0.0) -> DataFrame:
     )
     base = pairs.groupBy("product_id").agg(
         F.sum("q").alias("units"), F.coalesce(F.sum("r").cast("double"), F.lit(0.0)).alias("revenue"), F.count("customer_id").alias("customers"),
-        ratio(F.sum("d"), F.sum("n")).alias("discounted"), ratio(F.sum("n") - F.sum("d"), F.sum("n")).alias("organic"),
+        ratio(F.sum("d"), F.sum("n")).alias("discounted"), ratio(F.sum("n") - F.sum("d"), F.sum("n")).alias("organic"), repeated().alias("repeat_rate"),
     )
-    whole = base.join(repeat_rates(tx), "product_id", "left").join(basket_sizes(tx), "product_id", "left").na.fill({"repeat_rate": 0.0, "basket_size": 1.0})
+    whole = base.join(basket_sizes(tx), "product_id", "left").na.fill({"basket_size": 1.0})
+    whole = whole.select(*(c for c in whole.columns if c not in ("repeat_rate", "basket_size")), "repeat_rate", "basket_size")
     ranked = whole.withColumn("revenue_rank", F.rank().over(Window.orderBy(F.col("revenue").desc())))  # one row per product: small
     cut = with_quantiles(ranked, {"u50": ("units", HALF), "u25": ("units", LOW_UNITS)})
     tier = (

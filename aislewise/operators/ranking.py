@@ -25,6 +25,14 @@ def clipped_products(clips: DataFrame, customers: DataFrame) -> DataFrame:
     return cards.join(customers.select("loyalty_number", F.col("customer_id").cast("bigint").alias("customer_id")), "loyalty_number").select("customer_id", "product_id").distinct()
 
 
+def adjusted(scores: DataFrame, recent: DataFrame, clipped: DataFrame, recent_factor: float, clipped_factor: float) -> DataFrame:
+    """(customer_id, product_id, score): scores multiplied where the pair is in one of two sparse sets of pairs, which have each pair once."""
+    key = ["customer_id", "product_id"]
+    flagged = scores.join(recent.select(*key, F.lit(True).alias("__r")), key, "left").join(clipped.select(*key, F.lit(True).alias("__c")), key, "left")
+    factor = F.when(F.col("__r"), recent_factor).otherwise(1.0) * F.when(F.col("__c"), clipped_factor).otherwise(1.0)
+    return flagged.withColumn("score", F.col("score") * factor).drop("__r", "__c")
+
+
 def constrained_top(
     candidates: DataFrame, recent: DataFrame, clipped: DataFrame, n: int = PLACES, per_category: int = PER_CATEGORY, pool: int = POOL, margin_weight: float = MARGIN_WEIGHT, recent_factor: float = RECENT_FACTOR, clipped_factor: float = CLIPPED_FACTOR
 ) -> DataFrame:

@@ -5,13 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aislewise.functions.scalar import ratio
-
-
-def draw(*keys: Column | str | int) -> Column:
-    """A uniform number in [0, 1) from the first 32 bits of the MD5 of the keys."""
-    text = F.concat_ws("|", *(F.lit(k).cast("string") if isinstance(k, int) else (F.col(k) if isinstance(k, str) else k).cast("string") for k in keys))
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / 4294967296.0
+from aislewise.functions.scalar import draw, ratio
 
 
 def replicate(df: DataFrame, runs: int, epochs: int) -> DataFrame:

@@ -17,6 +17,11 @@ def money(c: str) -> str:
     return f"CAST(sum(CAST({c} AS DECIMAL(18,2))) AS DOUBLE)"
 
 
+def draw_sql(*keys: int | str) -> str:
+    """The same number as scalar.draw."""
+    return "CAST('0x' || substr(md5(" + " || '|' || ".join(f"CAST({k} AS VARCHAR)" for k in keys) + "), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE"
+
+
 # ---- views
 
 add("A1", lambda t: warehouse.customer_summary(t.transactions), f"""
@@ -156,18 +161,46 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 add("A33", lambda t: rounded(series.bands(weekly(t), "week", "revenue"), "mean", "std", "low", "high", digits=4),
     f"WITH {WEEKLY}, s AS (SELECT week, count(revenue) AS runs, avg(revenue) AS mean, stddev_pop(revenue) AS std FROM wk GROUP BY 1) SELECT week, runs, round(mean, 4) AS mean, round(std, 4) AS std, round(mean - 1.96 * std / sqrt(runs), 4) AS low, round(mean + 1.96 * std / sqrt(runs), 4) AS high FROM s")
 add("A34", lambda t: t.transactions.agg(ratio(F.count_distinct("product_id"), F.lit(3000)).alias("coverage")), "SELECT count(DISTINCT product_id) / CAST(3000 AS DOUBLE) AS coverage FROM transactions")
-add("A35", lambda t: pf(t).where("is_rx").agg(F.greatest(F.lit(1.0), F.floor(F.expr("percentile(units, 0.5D)")).cast("double")).alias("threshold")), f"WITH {PF} SELECT greatest(1.0::DOUBLE, floor(quantile_cont(units, 0.5))) AS threshold FROM pf WHERE is_rx")
+
+
+def usual_volume(t: Tables) -> DataFrame:
+    """The median number of lines of the products of tier 2 in the first week, at least 1; a product without any counts as 0."""
+    first = t.transactions.where("date >= DATE '2024-01-01' AND date < DATE '2024-01-08'").groupBy("product_id").agg(F.count(F.lit(1)).alias("n"))
+    volumes = rt(t).where("tier = 2").select("product_id").join(first, "product_id", "left").select(F.coalesce("n", F.lit(0)).alias("n"))
+    return volumes.agg(F.greatest(F.lit(1.0), F.floor(F.expr("percentile(n, 0.5D)")).cast("double")).alias("threshold"))
+
+
+add("A35", usual_volume, f"""WITH {RT}, fw AS (SELECT product_id, count(*) AS n FROM transactions WHERE date >= DATE '2024-01-01' AND date < DATE '2024-01-08' GROUP BY 1)
+    SELECT greatest(1.0::DOUBLE, floor(quantile_cont(coalesce(n, 0), 0.5))) AS threshold FROM rt LEFT JOIN fw USING (product_id) WHERE tier = 2""")
 both("A36", "SELECT product_id, count(DISTINCT store_id) AS stores FROM {transactions} WHERE product_id IS NOT NULL GROUP BY product_id")
 add("A37", lambda t: weekly(t).select("store_id", "week", F.sum("n").over(Window.partitionBy("store_id").orderBy("week").rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("running")),
     f"WITH {WEEKLY} SELECT store_id, week, CAST(sum(n) OVER (PARTITION BY store_id ORDER BY week ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM wk")
-add("A38", lambda t: series.filled_running_total(weekly(t).where("store_id = 7").select("week", "n"), "week", "n", 0, 60),
-    f"WITH {WEEKLY}, s AS (SELECT CAST(r.week AS INTEGER) AS week, CAST(coalesce(sum(n), 0) AS BIGINT) AS n FROM range(0, 61) r(week) LEFT JOIN (SELECT * FROM wk WHERE store_id = 7) w ON w.week = r.week GROUP BY 1) SELECT week, n, CAST(sum(n) OVER (ORDER BY week) AS BIGINT) AS running FROM s")
-BOOK.queries["D33"], BOOK.sql["D33"] = BOOK.queries["A38"], BOOK.sql["A38"]
+add("A38", lambda t: series.filled_running_total(weekly(t).select("store_id", "week", "n"), "week", "n", 0, 60, "store_id"),
+    f"WITH {WEEKLY}, s AS (SELECT k.store_id, CAST(r.week AS INTEGER) AS week, coalesce(n, 0) AS n FROM (SELECT DISTINCT store_id FROM wk WHERE store_id IS NOT NULL) k, range(0, 61) r(week) LEFT JOIN wk ON wk.week = r.week AND wk.store_id = k.store_id) SELECT store_id, week, n, CAST(sum(n) OVER (PARTITION BY store_id ORDER BY week) AS BIGINT) AS running FROM s")
 add("A39", lambda t: t.products.where("price <> 0 AND unit_cost IS NOT NULL").select(F.least(F.lit(49), F.floor((margin(F.col("price"), F.col("unit_cost")) + 1) / 2 * 50)).cast("int").alias("bin")).where("bin >= 0").groupBy("bin").agg(F.count(F.lit(1)).alias("n")),
     "WITH m AS (SELECT CAST(least(49, floor(((price - unit_cost) / nullif(price, 0) + 1) / 2 * 50)) AS INTEGER) AS bin FROM products WHERE price <> 0) SELECT bin, count(*) AS n FROM m WHERE bin >= 0 GROUP BY 1")
-add("W5", lambda t: series.first_streak(weekly(t).withColumn("hit", F.col("n") >= 3), "store_id", "week", "hit", 4),
-    f"""WITH {WEEKLY}, i AS (SELECT *, sum(CASE WHEN n >= 3 THEN 0 ELSE 1 END) OVER (PARTITION BY store_id ORDER BY week) AS g FROM wk),
-    r AS (SELECT store_id, week, row_number() OVER (PARTITION BY store_id, g ORDER BY week) AS k FROM i WHERE n >= 3) SELECT store_id, min(week) AS week FROM r WHERE k = 4 GROUP BY 1""")
+
+
+def promoted(t: Tables) -> DataFrame:
+    """The week in which a store first completes four weeks in a row with three lines or more."""
+    return series.first_streak(weekly(t).withColumn("hit", F.col("n") >= 3), "store_id", "week", "hit", 4)
+
+
+STREAK = f"""WITH {WEEKLY}, i AS (SELECT *, sum(CASE WHEN n >= 3 THEN 0 ELSE 1 END) OVER (PARTITION BY store_id ORDER BY week) AS g FROM wk),
+    r AS (SELECT store_id, week, row_number() OVER (PARTITION BY store_id, g ORDER BY week) AS k FROM i WHERE n >= 3), st AS (SELECT store_id, min(week) AS week FROM r WHERE k = 4 GROUP BY 1)"""
+add("W5", promoted, STREAK + " SELECT * FROM st")
+add("D33", lambda t: series.filled_running_total(promoted(t).groupBy("week").agg(F.count(F.lit(1)).alias("n")), "week", "n", 0, 60),
+    STREAK + ", e AS (SELECT CAST(r.week AS INTEGER) AS week, count(st.week) AS n FROM range(0, 61) r(week) LEFT JOIN st ON st.week = r.week GROUP BY 1) SELECT week, n, CAST(sum(n) OVER (ORDER BY week) AS BIGINT) AS running FROM e")
+add("D27", lambda t: rounded(series.first_and_last(weekly(t), "week", ["revenue", "n"], 0.5), "first_mean", "last_mean", "last_std", "variation", "change", digits=5),
+    f"""WITH {WEEKLY}, l AS (SELECT week, 'revenue' AS metric, revenue AS x FROM wk UNION ALL SELECT week, 'n', CAST(n AS DOUBLE) FROM wk), s AS (SELECT metric, week, avg(x) AS mean, stddev_pop(x) AS std FROM l GROUP BY 1, 2),
+    e AS (SELECT metric, arg_min(mean, week) AS a, arg_max(mean, week) AS b, arg_max(std, week) AS d, min(week) FILTER (std / nullif(mean, 0) < 0.5) AS steady_at FROM s GROUP BY 1)
+    SELECT metric, round(a, 5) AS first_mean, round(b, 5) AS last_mean, round(d, 5) AS last_std, steady_at, round(d / nullif(b, 0), 5) AS variation, round(b / nullif(a, 0) - 1, 5) AS change FROM e""")
+#: Invented yearly figures that the weekly revenue is compared with.
+FILED = {"last year": 4_000_000.0, "year before": 25_000.0, "segment": 2_900_000.0}
+add("D35", lambda t: t.spark.createDataFrame(list(FILED.items()), "benchmark string, filed double").crossJoin(F.broadcast(weekly(t).agg(F.round(F.sum(F.col("revenue").cast("decimal(18,2)")).cast("double") * 52 / F.count_distinct("week"), 4).alias("yearly"))))  # one row
+    .select("benchmark", "filed", "yearly", F.round((F.col("yearly") - F.col("filed")) / F.col("filed"), 6).alias("difference"), quality.compared(F.col("yearly"), F.col("filed")).alias("verdict")),
+    f"WITH {WEEKLY}, y AS (SELECT round({money('revenue')} * 52 / count(DISTINCT week), 4) AS yearly FROM wk), k(benchmark, filed) AS (VALUES " + ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in FILED.items())
+    + ") SELECT benchmark, filed, yearly, round((yearly - filed) / filed, 6) AS difference, CASE WHEN abs((yearly - filed) / filed) <= 0.2 THEN 'PASS' WHEN abs((yearly - filed) / filed) <= 0.35 THEN 'WARN' ELSE 'FAIL' END AS verdict FROM k, y")
 CV = "c AS (SELECT week, stddev_pop(revenue) / nullif(avg(revenue), 0) AS cv FROM wk GROUP BY 1)"
 add("W6", lambda t: series.converged_at(weekly(t).groupBy("week").agg((F.stddev_pop("revenue") / F.nullif(F.avg("revenue"), F.lit(0.0))).alias("cv")), "week", "cv", 10, 2.5),
     f"WITH {WEEKLY}, {CV}, m AS (SELECT week, max(cv) OVER w AS most, count(*) OVER w AS k FROM c WINDOW w AS (ORDER BY week ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)) SELECT min(week) AS converged_at FROM m WHERE k = 10 AND most < 2.5")
@@ -197,7 +230,7 @@ def by_category(t: Tables) -> DataFrame:
 def fit_sql(points: str, key: str) -> str:
     return f"""m AS (SELECT {key}, count(*) AS points, count(DISTINCT level) AS xs, sum(clips * level) / sum(clips) AS mx, sum(clips * y) / sum(clips) AS my FROM {points} GROUP BY 1),
     s AS (SELECT {key}, points, sum(clips * (level - mx) * (level - mx)) AS sxx, sum(clips * (level - mx) * (y - my)) AS sxy, sum(clips * (y - my) * (y - my)) AS syy FROM {points} JOIN m USING ({key}) WHERE xs >= 2 GROUP BY 1, 2),
-    f AS (SELECT {key}, points, sxy / sxx AS beta, CASE WHEN points > 2 THEN sqrt(greatest(syy - sxy / sxx * sxy, 0) / greatest(points - 2, 1) / sxx) END AS se FROM s)"""
+    f AS (SELECT {key}, points, sxy / sxx AS beta, CASE WHEN points > 2 THEN sqrt(CASE WHEN syy - sxy / sxx * sxy > 1e-15 THEN syy - sxy / sxx * sxy ELSE 0 END / greatest(points - 2, 1) / sxx) END AS se FROM s)"""
 
 
 P_PRODUCT = LEVELS + """, pp AS (SELECT product_id, level, sum(clips) AS clips, ln(greatest(sum(redeemed) / CAST(sum(clips) AS DOUBLE), 1e-6)) AS y FROM lv WHERE level IS NOT NULL AND product_id IN (SELECT product_id FROM lv GROUP BY 1 HAVING sum(clips) >= 50)
@@ -207,8 +240,13 @@ P_CATEGORY = LEVELS + """, pp AS (SELECT category, level, sum(clips) AS clips, l
 add("A13", levels, f"WITH {LEVELS} SELECT * FROM lv")
 BOOK.queries["A14"], BOOK.sql["A14"] = BOOK.queries["A13"], BOOK.sql["A13"]
 add("R7", lambda t: rounded(by_product(t), "beta", "se").drop("p_value"), f"WITH {P_PRODUCT} {fit_sql('pp', 'product_id')} SELECT product_id, points, round(beta, 6) AS beta, round(se, 6) AS se FROM f")
-add("R7_p_values", lambda t: rounded(by_product(t), "beta", "se", "p_value"))
-add("F13", lambda t: rounded(by_category(t), "beta", "se", "p_value"))
+# the two-sided tail of Student's t at whole degrees of freedom, in closed form over the angle atan(t / sqrt(dof))
+TAIL = """, g AS (SELECT *, greatest(points - 2, 1) AS dof, CASE WHEN se > 0 THEN atan(abs(beta / se) / sqrt(greatest(points - 2, 1))) END AS a FROM f), h AS (SELECT *, cos(a) AS c1, CASE WHEN se > 0 THEN 1 - CASE WHEN dof % 2 = 1
+      THEN 2 / pi() * (a + sin(a) * list_sum(list_transform(range(0, (dof - 1) // 2), lambda k: cos(a) * coalesce(list_product(list_transform(range(1, k + 1), lambda j: 2.0::DOUBLE * j / (2 * j + 1) * cos(a) * cos(a))), 1))))
+      ELSE sin(a) * list_sum(list_transform(range(0, dof // 2), lambda k: coalesce(list_product(list_transform(range(1, k + 1), lambda j: (2.0::DOUBLE * j - 1) / (2 * j) * cos(a) * cos(a))), 1))) END END AS p FROM g)"""
+TAIL = TAIL.replace("2 / pi() * (a + sin(a) * list_sum(", "2 / pi() * (a + sin(a) * coalesce(list_sum(").replace("* cos(a))), 1))))\n      ELSE", "* cos(a))), 1))), 0))\n      ELSE")
+add("R7_p_values", lambda t: rounded(by_product(t), "beta", "se", "p_value"), f"WITH {P_PRODUCT} {fit_sql('pp', 'product_id')}{TAIL} SELECT product_id, points, round(beta, 6) AS beta, round(se, 6) AS se, round(p, 6) AS p_value FROM h")
+add("F13", lambda t: rounded(by_category(t), "beta", "se", "p_value"), f"WITH {P_CATEGORY} {fit_sql('pp', 'category')}{TAIL} SELECT category, points, round(beta, 6) AS beta, round(se, 6) AS se, round(p, 6) AS p_value FROM h")
 add("R8", lambda t: rounded(by_category(t), "beta", "se").drop("p_value"), f"WITH {P_CATEGORY} {fit_sql('pp', 'category')} SELECT category, points, round(beta, 6) AS beta, round(se, 6) AS se FROM f")
 FALLBACK = f"""WITH {P_PRODUCT} {fit_sql('pp', 'product_id')}, fp AS (SELECT product_id, beta AS b1 FROM f),
     cc AS (SELECT category, level, sum(clips) AS clips, ln(greatest(sum(redeemed) / CAST(sum(clips) AS DOUBLE), 1e-6)) AS y FROM lv WHERE level IS NOT NULL AND category IS NOT NULL GROUP BY 1, 2 HAVING sum(clips) >= 10 AND sum(redeemed) > 0),
@@ -243,7 +281,11 @@ add("R11", lambda t: rounded(response(t).select("product_id", "at_best", "at_zer
 add("R12", lambda t: rounded(response(t).select("product_id", "sensitivity"), "sensitivity"), RESPONSE + " SELECT product_id, round(sensitivity, 6) AS sensitivity FROM rs")
 add("R13", lambda t: rounded(response(t), "beta").orderBy(F.col("beta").desc(), "product_id").limit(10).select("product_id", "beta"), RESPONSE + " SELECT product_id, round(beta, 6) AS beta FROM rs ORDER BY round(beta, 6) DESC, product_id LIMIT 10")
 add("A29", lambda t: response(t).groupBy("category").agg(F.round(F.avg(F.abs("beta")), 6).alias("mean_abs_beta")), RESPONSE + " SELECT category, round(avg(abs(beta)), 6) AS mean_abs_beta FROM rs GROUP BY 1")
-add("R9", lambda t: pf(t).select("product_id", "organic_ratio", "revenue", "units"), f"WITH {PF} SELECT product_id, organic_ratio, revenue, units FROM pf")
+add("R9", lambda t: elasticity.organic_strength(t.transactions, pf(t)), f"WITH {PF} SELECT product_id, organic_ratio, 1 - organic_ratio AS discount_ratio, revenue, units, redemption_rate, clips FROM pf")
+STRENGTH = f"""SELECT product_id, count(*) FILTER (coalesce(discount_pct, 0) = 0) / CAST(count(*) AS DOUBLE) AS organic_ratio, count(*) FILTER (coalesce(discount_pct, 0) > 0) / CAST(count(*) AS DOUBLE) AS discount_ratio,
+      {money("subtotal")} AS revenue, CAST(sum(quantity) AS BIGINT) AS units, 0.0::DOUBLE AS redemption_rate, CAST(0 AS BIGINT) AS clips FROM transactions"""
+add("R9_purchases", lambda t: elasticity.organic_strength(t.transactions), STRENGTH + " GROUP BY 1")
+add("R9_sample", lambda t: elasticity.organic_strength(t.transactions, share=0.05), f"{STRENGTH} WHERE {draw_sql(42, 'transaction_id')} < 0.05 GROUP BY 1")
 add("R3", lambda t: rt(t).join(t.products.select("product_id", "name", "price"), "product_id").withColumn("place", F.row_number().over(Window.partitionBy("tier").orderBy(F.col("revenue").desc(), "product_id"))).groupBy("tier").agg(
     F.count(F.lit(1)).alias("products"), money_sum("revenue").alias("revenue"), F.transform(F.sort_array(F.collect_list(F.when(F.col("place") <= 10, F.struct("place", "product_id")))), lambda x: x["product_id"]).alias("top")),
     f"WITH {RT}, j AS (SELECT tier, product_id, revenue, row_number() OVER (PARTITION BY tier ORDER BY revenue DESC, product_id) AS place FROM rt JOIN products USING (product_id)) SELECT tier, count(*) AS products, {money('revenue')} AS revenue, list(product_id ORDER BY place) FILTER (place <= 10) AS top FROM j GROUP BY 1")
@@ -267,7 +309,11 @@ add("V3_padded", lambda t: vectors.top_k_cosine(t.embeddings.where("vec_id = 100
 add("V4", lambda t: rounded(vectors.top_k_cosine(t.embeddings.where("vec_id % 100 = 0"), t.embeddings, "vec_id", "embedding", 10), "score"), top_sql("a.vec_id % 100 = 0", 10))
 BOOK.queries["L4"], BOOK.sql["L4"] = BOOK.queries["V4"], BOOK.sql["V4"]
 BOOK.queries["L5"], BOOK.sql["L5"] = BOOK.queries["V3"], BOOK.sql["V3"]
-BOOK.queries["R19"], BOOK.sql["R19"] = BOOK.queries["V4"], BOOK.sql["V4"]
+#: The other direction of V4: for products (odd ids) the customers (even ids) with the highest score; every product is a query.
+add("R19", lambda t: vectors.top_k_cosine(vectors_of(t, "products"), vectors_of(t, "customers"), "vec_id", "embedding", 5).withColumnsRenamed({"query_id": "product_id", "id": "customer_id"}).withColumn("score", F.round("score", 6)),
+    top_sql("a.vec_id % 2 = 1 AND b.vec_id % 2 = 0", 5).replace("SELECT query_id, id, score,", "SELECT query_id AS product_id, id AS customer_id, score,"))
+add("J11", lambda t: rounded(vectors.all_pairs(vectors_of(t, "customers"), vectors_of(t, "products"), "vec_id", "embedding"), "score"),
+    f"SELECT a.vec_id AS left_id, b.vec_id AS right_id, round({DOT}, 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 2 = 0 AND b.vec_id % 2 = 1")
 both("V5", "SELECT count(*) AS n, min(cardinality(embedding)) AS dims, max(cardinality(embedding)) AS most FROM {embeddings}")
 BOOK.sql["V5"] = "SELECT count(*) AS n, CAST(min(len(embedding)) AS INTEGER) AS dims, CAST(max(len(embedding)) AS INTEGER) AS most FROM embeddings"
 add("R17", lambda t: rounded(vectors.demand_ranking(vectors.affinity(vectors_of(t, "customers"), vectors_of(t, "products"), "vec_id", "embedding", 0.3), pf(t)).where("price > 0"), "average", "demand", "score", digits=5).select("product_id", "average", "above", "demand", "score"),
@@ -291,24 +337,31 @@ add("R4", lambda t: rounded(ranking.constrained_top(t.recommendations.select(F.c
     q AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY customer_id, category ORDER BY final DESC, product_id) <= 3)
     SELECT CAST(customer_id AS BIGINT) AS customer_id, CAST(product_id AS BIGINT) AS product_id, category, round(score, 6) AS score, round(final, 6) AS final, CAST(row_number() OVER (PARTITION BY customer_id ORDER BY final DESC, product_id) AS INTEGER) AS place FROM q
     QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY final DESC, product_id) <= 10""")
-for same in ("W4", "J12", "L3"):
-    BOOK.queries[same], BOOK.sql[same] = BOOK.queries["R4"], BOOK.sql["R4"]
+BOOK.queries["W4"], BOOK.sql["W4"] = BOOK.queries["R4"], BOOK.sql["R4"]
+add("J12", lambda t: rounded(ranking.adjusted(t.recommendations.where("raw_score IS NOT NULL").select("customer_id", "product_id", F.col("raw_score").cast("double").alias("score")), ranking.last_products(t.transactions, 5), ranking.clipped_products(t.coupon_clips, t.customers), 0.5, 1.15), "score"),
+    f"""WITH {RECENT}, {CLIPPED} SELECT r.customer_id, r.product_id, round(CAST(raw_score AS DOUBLE) * (CASE WHEN rc.product_id IS NOT NULL THEN 0.5 ELSE 1.0 END) * (CASE WHEN cp.product_id IS NOT NULL THEN 1.15 ELSE 1.0 END), 6) AS score FROM recommendations r
+      LEFT JOIN rc ON rc.customer_id = r.customer_id AND rc.product_id = r.product_id LEFT JOIN cp ON cp.customer_id = r.customer_id AND cp.product_id = r.product_id WHERE raw_score IS NOT NULL""")
+both("L3", "SELECT product_id, category, brand, price, popularity_score FROM {products} WHERE price IS NOT NULL ORDER BY category NULLS FIRST, price DESC, popularity_score DESC NULLS LAST, product_id LIMIT 200")
 
 
 def lookalikes(t: Tables) -> DataFrame:
     held = t.embeddings.select(F.col("vec_id").alias("product_id"), F.col("embedding").alias("vector"))
-    return breakout.lookalikes(held, rt(t), t.products)
+    strength = response(t).groupBy("category").agg(F.avg(F.abs("beta")).alias("strength"))
+    return breakout.lookalikes(held, rt(t), t.products, strength)
 
 
-LOOK = f"""WITH {RT}, v AS (SELECT vec_id AS product_id, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n, tier FROM embeddings JOIN rt ON rt.product_id = vec_id),
+LOOK = f"""{RESPONSE}, {RT}, el AS (SELECT category, avg(abs(beta)) AS strength FROM rs WHERE category IS NOT NULL GROUP BY 1),
+    th AS (SELECT coalesce((SELECT quantile_cont(units, 0.25) FROM rt WHERE tier = 2), (SELECT quantile_cont(units, 0.5) FROM rt)) AS goal), v AS (SELECT vec_id AS product_id, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n, tier, units, revenue FROM embeddings JOIN rt ON rt.product_id = vec_id),
     x AS (SELECT unnest(range(len(e))) AS pos, unnest(e) AS y FROM v WHERE tier = 1), mm AS (SELECT pos, avg(y) AS y FROM x GROUP BY 1), ce AS (SELECT list(y / nrm ORDER BY pos) AS e FROM (SELECT pos, y, sqrt(sum(y * y) OVER ()) AS nrm FROM mm)),
     nn AS (SELECT a.product_id, b.product_id AS nearest, round(list_dot_product(a.e, b.e) / (a.n * b.n), 12) AS s FROM v a, v b WHERE a.tier = 4 AND b.tier = 1 QUALIFY row_number() OVER (PARTITION BY a.product_id ORDER BY s DESC, nearest) = 1),
-    o AS (SELECT v.product_id, p.category, p.brand, round(list_dot_product(v.e, ce.e) / v.n, 4) AS cosine, nearest, round(s, 4) AS similarity, round(p.price / greatest(coalesce(q.price, p.price), 0.01), 4) AS price_ratio,
+    o AS (SELECT v.product_id, p.category, p.brand, round(list_dot_product(v.e, ce.e) / v.n, 4) AS cosine, nearest, q.name AS nearest_name, round(s, 4) AS similarity, round(1 - s, 4) AS distance, units, revenue, coalesce(el.strength, 0.75) AS strength, goal, round(p.price / greatest(coalesce(q.price, p.price), 0.01), 4) AS price_ratio,
       CAST(p.category IN (SELECT category FROM products JOIN v ON v.product_id = products.product_id WHERE tier = 1 AND category IS NOT NULL) AS INTEGER) AS sc, CAST(p.brand IN (SELECT brand FROM products JOIN v ON v.product_id = products.product_id WHERE tier = 1 AND brand IS NOT NULL) AS INTEGER) AS sb
-      FROM v JOIN nn USING (product_id) JOIN products p ON p.product_id = v.product_id LEFT JOIN products q ON q.product_id = nearest, ce WHERE v.tier = 4),
-    lk AS (SELECT product_id, category, brand, cosine, nearest, similarity, price_ratio, coalesce(sc, 0) AS same_category, coalesce(sb, 0) AS same_brand,
-      round(0.2 * cosine + 0.2 * coalesce(sc, 0) + 0.2 * coalesce(greatest(0, 1 - abs(price_ratio - 1)), 0) + 0.2 * coalesce(sb, 0), 4) AS score FROM o)"""
-add("R14", lambda t: lookalikes(t).drop("score"), LOOK + " SELECT product_id, category, brand, cosine, nearest, similarity, price_ratio, same_category, same_brand FROM lk")
+      FROM v JOIN nn USING (product_id) JOIN products p ON p.product_id = v.product_id LEFT JOIN products q ON q.product_id = nearest LEFT JOIN el ON el.category = p.category, ce, th WHERE v.tier = 4),
+    od AS (SELECT *, round(CASE WHEN units > 0 AND strength > 0.01 THEN CASE WHEN goal / units > 1 THEN greatest(0.05, least(0.5, ln(goal / units) / (strength * 7))) ELSE 0.05 END ELSE 0.5 END, 4) AS discount FROM o),
+    lk AS (SELECT product_id, category, brand, cosine, nearest, nearest_name, similarity, distance, price_ratio, coalesce(sc, 0) AS same_category, coalesce(sb, 0) AS same_brand, discount, round(strength, 4) AS strength,
+      CAST(round_even(units / 12.0::DOUBLE, 0) AS BIGINT) AS monthly_units, floor((2 * CAST(round(revenue * 100) AS BIGINT) + 12) / 24.0::DOUBLE) / 100 AS monthly_revenue,
+      round(0.2 * cosine + 0.2 * coalesce(sc, 0) + 0.2 * coalesce(greatest(0, 1 - abs(price_ratio - 1)), 0) + 0.2 * coalesce(sb, 0) - 0.2 * discount, 4) AS score FROM od)"""
+add("R14", lambda t: lookalikes(t).drop("score"), LOOK + " SELECT * EXCLUDE (score) FROM lk")
 add("R15", lambda t: lookalikes(t).select("product_id", "score").orderBy(F.col("score").desc(), "product_id").limit(100), LOOK + " SELECT product_id, score FROM lk ORDER BY score DESC, product_id LIMIT 100")
 add("P19", lambda t: lookalikes(t).groupBy("same_category", "same_brand").agg(F.count(F.lit(1)).alias("n")), LOOK + " SELECT same_category, same_brand, count(*) AS n FROM lk GROUP BY 1, 2")
 
@@ -334,7 +387,20 @@ CHECKS = " UNION ALL ".join(
     ]
 )
 add("Q1", checks, CHECKS)
-add("Q2", lambda t: checks(t).groupBy("passed").agg(F.count(F.lit(1)).alias("n")), f"SELECT passed, count(*) AS n FROM ({CHECKS}) GROUP BY 1")
+MORE_THAN = {"stores": 1000, "products": 5000, "customers": 100_000}
+VALIDATION = " UNION ALL ".join(
+    [f"SELECT '{n} count' AS \"check\", count(*) AS value, count(*) > {k} AS passed FROM {n}" for n, k in MORE_THAN.items()]
+    + [
+        f"SELECT '{name}' AS \"check\", count(*) AS value, {passed} AS passed FROM {source}"
+        for name, passed, source in (
+            ("null customer_id", "count(*) = 0", "customers WHERE customer_id IS NULL"), ("null product_id", "count(*) = 0", "products WHERE product_id IS NULL"), ("prices positive", "count(*) = 0", "products WHERE price <= 0"),
+            ("ages in range", "count(*) = 0", "customers WHERE age < 18 OR age > 100"), ("no negative totals", "count(*) = 0", "transactions WHERE total < 0"),
+            ("customers of purchases", "true", "(SELECT DISTINCT customer_id FROM transactions) t LEFT JOIN customers c ON c.customer_id = t.customer_id WHERE c.customer_id IS NULL"),
+            ("products of purchases", "true", "(SELECT DISTINCT product_id FROM transactions) t LEFT JOIN products p ON p.product_id = t.product_id WHERE p.product_id IS NULL"),
+        )
+    ]
+)
+add("Q2", lambda t: quality.validation_checks({n: getattr(t, n) for n in ("transactions", "products", "customers", "stores")}, MORE_THAN), VALIDATION)
 add("Q3", lambda t: cf(t).groupBy("state").agg(ratio(F.sum(F.col("spend").cast("decimal(18,2)")), F.count(F.lit(1))).alias("mean")).withColumn("verdict", quality.verdict(F.col("mean"), F.lit(100.0), F.lit(180.0))),
     f"""WITH {CF}, m AS (SELECT state, {money("spend")} / count(*) AS mean FROM cf GROUP BY 1), d AS (SELECT *, greatest(100.0 - mean, mean - 180.0, 0) / 40.0 AS away FROM m)
     SELECT state, mean, CASE WHEN mean IS NULL THEN NULL WHEN away <= 0.2::DOUBLE / 0.21::DOUBLE THEN 'PASS' WHEN away <= 0.5::DOUBLE / 0.21::DOUBLE THEN 'WARN' ELSE 'FAIL' END AS verdict FROM d""")

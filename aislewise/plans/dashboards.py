@@ -11,6 +11,7 @@ from aislewise.functions.scalar import money_sum, ratio
 from aislewise.operators import features
 from aislewise.plans.analytics import CF, PF, PT, RESPONSE, RT, by_product, cf, pf, response, rounded, rt
 from aislewise.plans.common import Book, Tables
+from aislewise.staging import stage
 
 BOOK = Book()
 add, both = BOOK.add, BOOK.both
@@ -67,7 +68,7 @@ add("D17", lambda t: features.large_quantiles(cf(t), "spend", SPEND), f"WITH {CF
 
 def segments(t: Tables) -> DataFrame:
     """Customers with a spend tier by quantiles of all spend and a coupon tier by use."""
-    people = cf(t)
+    people = stage(cf(t).select("customer_id", "spend", "transactions", "clips", "redemption_rate"), "people")  # read by the quantiles and for the result
     cut = features.large_quantiles(people, "spend", {"p50": 0.5, "p80": 0.8, "p95": 0.95})
     tier = F.when(F.col("spend") >= F.col("p95"), "Platinum").when(F.col("spend") >= F.col("p80"), "Gold").when(F.col("spend") >= F.col("p50"), "Silver").otherwise("Bronze")
     use = F.when((F.col("clips") > 0) & (F.col("redemption_rate") >= 0.4), "Redeemer").when(F.col("clips") > 0, "Clipper").otherwise("Non-clipper")
@@ -98,18 +99,25 @@ report("D24", "SELECT product_id, name, brand, margin, units, revenue, buyers, c
 report("D25", f"""SELECT (SELECT {money("revenue")} FROM {{pf}} WHERE is_rx = false) AS revenue, (SELECT round(sum(revenue * margin), 2) FROM {{pf}} WHERE is_rx = false) AS gross, (SELECT count(CASE WHEN clips > 0 THEN 1 END) FROM {{cf}}) AS active,
     (SELECT round(avg(CASE WHEN clips > 0 THEN redemption_rate END), 9) FROM {{cf}}) AS redemption""")
 report("D26", f"SELECT CASE WHEN margin < 0.35 THEN 'low' WHEN margin < 0.5 THEN 'middle' ELSE 'high' END AS band, count(*) AS n FROM ({TOP}) x GROUP BY CASE WHEN margin < 0.35 THEN 'low' WHEN margin < 0.5 THEN 'middle' ELSE 'high' END")
-report("D27", f"SELECT tier, {money('revenue')} AS revenue FROM {{rt}} GROUP BY tier ORDER BY revenue DESC LIMIT 1")
 report("D28", f"SELECT tier, count(*) AS products, {money('revenue')} AS revenue, round({money('revenue')} * 100 / (SELECT {money('revenue')} FROM {{rt}}), 6) AS percent FROM {{rt}} GROUP BY tier")
 report("D29", "SELECT tier, product_id, revenue, place FROM (SELECT tier, product_id, revenue, CAST(row_number() OVER (PARTITION BY tier ORDER BY revenue DESC, product_id) AS INT) AS place FROM {rt}) x WHERE place <= 10")
 WEEK = "CAST(floor(datediff(date, DATE '2024-01-01') / 7) AS INT)"
 report("D30", f"WITH w AS (SELECT store_id, {WEEK} AS week, count(DISTINCT product_id) AS n FROM {{transactions}} WHERE date IS NOT NULL GROUP BY store_id, {WEEK}) SELECT store_id, week, CAST(sum(n) OVER (PARTITION BY store_id ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS running FROM w")
 BOOK.sql["D30"] = BOOK.sql["D30"].replace("datediff(date, DATE '2024-01-01') / 7", "date_diff('day', DATE '2024-01-01', date) / 7.0")
-add("D31", lambda t: rounded(response(t).select("product_id", "beta", "at_zero").crossJoin(F.broadcast(response(t).agg(F.expr("percentile(at_zero, 0.5D)").alias("m")))).where("beta < -1 AND at_zero < m").select("product_id", "beta"), "beta"),
+
+
+def opportunities(t: Tables) -> DataFrame:
+    """Products with a strong falling response and less revenue than the median."""
+    known = stage(response(t).select("product_id", "beta", "at_zero"), "response")  # two regressions, read twice
+    middle = known.agg(F.expr("percentile(at_zero, 0.5D)").alias("m"))
+    return rounded(known.crossJoin(F.broadcast(middle)).where("beta < -1 AND at_zero < m").select("product_id", "beta"), "beta")  # one row
+
+
+add("D31", opportunities,
     RESPONSE + " SELECT product_id, round(beta, 6) AS beta FROM rs WHERE beta < -1 AND at_zero < (SELECT quantile_cont(at_zero, 0.5) FROM rs)")
 add("D32", lambda t: by_product(t).select("product_id", F.explode(F.array(*(F.struct(F.lit(d).alias("discount"), F.round(F.exp(F.col("beta") * d), 6).alias("demand")) for d in (0.0, 0.1, 0.2, 0.3)))).alias("x")).select("product_id", "x.*"),
     RESPONSE.split(", fp AS")[0] + " SELECT product_id, d AS discount, round(exp(beta * d), 6) AS demand FROM f, (VALUES (0.0::DOUBLE), (0.1), (0.2), (0.3)) v(d)")
 report("D34", "SELECT product_id, count(DISTINCT store_id) AS stores, CAST(count(DISTINCT store_id) AS DOUBLE) / 240 AS consistency FROM {transactions} WHERE product_id IS NOT NULL GROUP BY product_id ORDER BY stores DESC, product_id LIMIT 100")
-report("D35", f"WITH m AS (SELECT category, {money('revenue')} AS revenue, count(*) AS n FROM {{pf}} GROUP BY category), a AS (SELECT avg(revenue) AS mean FROM m) SELECT category, CASE WHEN abs(revenue / mean - 1) <= 0.2 THEN 'PASS' WHEN abs(revenue / mean - 1) <= 0.35 THEN 'WARN' ELSE 'FAIL' END AS verdict FROM m, a")
 report("D36", "WITH s AS (SELECT tier, CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM {rt}) AS share FROM {rt} GROUP BY tier) SELECT tier, share, CASE WHEN share BETWEEN 0.1 AND 0.4 THEN 'inside' ELSE 'outside' END AS band FROM s")
 report("D37", "SELECT t.product_id, t.tier, p.category, p.clips, p.redemption_rate FROM {rt} t JOIN {pf} p ON p.product_id = t.product_id WHERE t.tier = 2 ORDER BY p.clips DESC, t.product_id LIMIT 50")
 report("D38", "SELECT t.product_id, t.tier, t.repeat_rate, p.margin FROM {rt} t JOIN {pf} p ON p.product_id = t.product_id WHERE p.margin > 0.5 ORDER BY t.repeat_rate DESC, p.margin DESC, t.product_id LIMIT 50")

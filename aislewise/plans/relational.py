@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from aislewise.functions import scalar
 from aislewise.operators import elasticity, features
-from aislewise.plans.analytics import CF, PF, cf, levels, pf
+from aislewise.plans.analytics import CF, PF, cf, draw_sql, levels, pf
 from aislewise.plans.common import Book, Tables
 from aislewise.sources import files
 from aislewise.staging import new_path, stage
@@ -86,6 +86,15 @@ def binary_vectors(t: Tables) -> DataFrame:
     return files.read_vector_file(t.spark, written).select("id", F.posexplode("vector").alias("pos", "x"))
 
 
+def numpy_arrays(t: Tables) -> DataFrame:
+    """All vectors through NPZ files, a file per partition."""
+    path = new_path(t.spark, "arrays")
+    if not path.startswith("file:") and "://" in path:
+        raise ValueError("the executors write array files to a mounted folder")
+    written = files.write_npz_files(t.embeddings, path.replace("file://", "").replace("file:", ""), "vec_id", "embedding")
+    return files.read_npz_files(t.spark, [f"file://{p}" for p in written]).select("id", F.posexplode("vector").alias("pos", "x"))
+
+
 def converted(t: Tables) -> DataFrame:
     path = new_path(t.spark, "convert")
     files.write_csv(stores(t), f"{path}/a")
@@ -100,9 +109,7 @@ add("S2", lambda t: files.read_parquet(t.spark, f"{t.sf_dir}/coupon_cli*.parquet
 add("S3", csv_with_cut_line, STORE_SQL)
 add("S4", detected, "SELECT store_id, name, state, latitude, kind FROM stores, (VALUES ('parquet'), ('csv')) k(kind)")
 add("S5", external_view, "SELECT store_id, count(*) AS n FROM transactions GROUP BY 1")
-both("S6", "SELECT * FROM (VALUES (1, 'Main', 40.5), (2, 'Oak', 41.25), (3, 'Elm', 42.0)) AS s(store_id, name, latitude)")
-BOOK.sql["S6"] = "SELECT store_id, name, CAST(latitude AS DOUBLE) AS latitude FROM (VALUES (1, 'Main', 40.5), (2, 'Oak', 41.25), (3, 'Elm', 42.0)) AS s(store_id, name, latitude)"
-BOOK.queries["S6"] = lambda spark, sf_dir: spark.sql("SELECT store_id, name, CAST(latitude AS DOUBLE) AS latitude FROM (VALUES (1, 'Main', 40.5), (2, 'Oak', 41.25), (3, 'Elm', 42.0)) AS s(store_id, name, latitude)")
+both("S6", "SELECT store_id, name, CAST(latitude AS DOUBLE) AS latitude FROM (VALUES (1, 'Main', 40.5), (2, 'Oak', 41.25), (3, 'Elm', 42.0)) AS s(store_id, name, latitude)")
 add("S7", catalog, "SELECT * FROM (VALUES ('stores', true), ('products', true), ('nowhere', false)) v(name, present)")
 add("S8", reused, "SELECT store_id, name, state, latitude, true AS built, false AS again FROM stores")
 add("S9", created_table, STORE_SQL)
@@ -115,8 +122,7 @@ add("S14", lambda t: files.read_parquet(t.spark, files.write_parquet(t.recommend
 add("S15", lambda t: files.read_csv(t.spark, files.write_csv(stores(t), new_path(t.spark, "csv")), STORE_SCHEMA), STORE_SQL)
 add("S16", lambda t: files.json_lines(t.stores.groupBy("state").agg(F.count(F.lit(1)).alias("n")).where("state IS NOT NULL").select("state", "n")),
     """SELECT '{"state":"' || state || '","n":' || count(*) || '}' AS json FROM stores WHERE state IS NOT NULL GROUP BY state""")
-add("S17", lambda t: files.read_parquet(t.spark, files.write_parquet(t.embeddings, new_path(t.spark, "arrays"))).select("vec_id", F.posexplode("embedding").alias("pos", "x")),
-    "SELECT vec_id, CAST(unnest(range(len(embedding))) AS INTEGER) AS pos, unnest(embedding) AS x FROM embeddings")
+add("S17", numpy_arrays, "SELECT vec_id AS id, CAST(unnest(range(len(embedding))) AS INTEGER) AS pos, unnest(embedding) AS x FROM embeddings")
 add("S18_all", binary_vectors, "SELECT vec_id AS id, CAST(unnest(range(len(embedding))) AS INTEGER) AS pos, unnest(embedding) AS x FROM embeddings")
 add("S18", lambda t: binary_vectors(t).where("id < 200"), "SELECT vec_id AS id, CAST(unnest(range(len(embedding))) AS INTEGER) AS pos, unnest(embedding) AS x FROM embeddings WHERE vec_id < 200")
 add("S20", lambda t: t.spark.createDataFrame(t.stores.select("store_id", "name").toPandas()).select(F.col("store_id").cast("int").alias("store_id"), "name"), "SELECT store_id, name FROM stores")
@@ -145,9 +151,7 @@ add("P6", lambda t: offers(t).select("clip_id", elasticity.effective_discount("d
 both("P7", "SELECT gender, count(*) AS n FROM {customers} GROUP BY gender ORDER BY CASE gender WHEN 'NB' THEN 1 WHEN 'F' THEN 2 ELSE 3 END, gender NULLS LAST LIMIT 3")
 both("P8", "SELECT product_id, price FROM {products} WHERE is_rx = false AND (price IS NULL OR price <= 0 OR unit_cost > price)")
 both("P9", "SELECT transaction_id, customer_id, total FROM {transactions} WHERE customer_id >= 100 AND customer_id < 200")
-both("P10", "SELECT store_id, TRY_CAST(zip_code AS INT) AS zip, CAST(latitude AS INT) AS lat, CAST(store_id AS STRING) AS id FROM {stores} WHERE latitude IS NULL OR latitude = CAST(latitude AS INT) + 0.0 OR store_id < 400")
-BOOK.queries["P10"] = lambda spark, sf_dir: Tables(spark, sf_dir).stores.select("store_id", F.expr("try_cast(zip_code AS INT)").alias("zip"), F.col("store_id").cast("string").alias("id"))
-BOOK.sql["P10"] = "SELECT store_id, TRY_CAST(zip_code AS INTEGER) AS zip, CAST(store_id AS VARCHAR) AS id FROM stores"
+add("P10", lambda t: t.stores.select("store_id", F.col("zip_code").try_cast("int").alias("zip"), F.col("store_id").cast("string").alias("id")), "SELECT store_id, TRY_CAST(zip_code AS INTEGER) AS zip, CAST(store_id AS VARCHAR) AS id FROM stores")
 both("P11", "SELECT (SELECT count(*) FROM {stores}) AS stores, (SELECT count(*) FROM {products}) AS products, (SELECT count(DISTINCT loyalty_number) FROM {coupon_clips}) AS clippers, (SELECT count(*) FROM {coupon_clips} WHERE redeemed) AS redeemed")
 both("P12", "WITH c AS (SELECT avg(age) AS mean FROM {customers}) SELECT customer_id, CASE WHEN age >= (SELECT mean FROM c) THEN 'older' ELSE 'younger' END AS half FROM {customers} WHERE age IS NOT NULL")
 add("P13", lambda t: features.with_quantiles(t.products.where("price > 0").select("product_id", "price"), {"low": ("price", 0.3), "high": ("price", 0.7)}).select("product_id", F.when(F.col("price") >= F.col("high"), "high").when(F.col("price") >= F.col("low"), "middle").otherwise("low").alias("band")),
@@ -188,20 +192,19 @@ both("J10", "SELECT s.store_id, s.state, n FROM {stores} s JOIN (SELECT state, c
 both("L1", f"SELECT product_id, count(*) AS n FROM {{transactions}} WHERE product_id IS NOT NULL GROUP BY product_id ORDER BY n DESC, product_id LIMIT 25")
 
 
-def sampled(df: DataFrame, key: str, per_mille: int, seed: int) -> DataFrame:
-    """Rows whose hashed key falls below the share: the same rows in every run, whatever the partitioning."""
-    return df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1000)) < per_mille)
-
-
-add("L6", lambda t: sampled(t.transactions.select("transaction_id", "product_id"), "transaction_id", 100, 42))
-add("L7", lambda t: t.transactions.select("transaction_id", "product_id").sample(False, 0.1, 42).limit(1000))
-add("L8", lambda t: t.customers.select("customer_id", "age").orderBy(F.xxhash64(F.lit(42), "customer_id"), "customer_id").limit(100))
-add("L9", lambda t: t.coupon_clips.select("clip_id", "product_id").where(F.rand(42) < 0.3))
-add("L10", lambda t: t.products.select("product_id").orderBy(F.xxhash64(F.lit(7), "product_id"), "product_id").limit(500))
+# draws by MD5 of seed and key: the same rows in every run and engine, whatever the partitioning
+add("L6", lambda t: t.transactions.select("transaction_id", "product_id").where(scalar.draw(42, "transaction_id") < 0.1), f"SELECT transaction_id, product_id FROM transactions WHERE {draw_sql(42, 'transaction_id')} < 0.1")
+BLOCK_ROWS = 256
+add("L7", lambda t: t.transactions.select("transaction_id", "product_id").where(scalar.draw(42, F.expr(f"transaction_id div {BLOCK_ROWS}")) < 0.1).orderBy("transaction_id", "product_id").limit(1000),
+    f"SELECT transaction_id, product_id FROM transactions WHERE {draw_sql(42, f'(transaction_id // {BLOCK_ROWS})')} < 0.1 ORDER BY transaction_id, product_id NULLS FIRST LIMIT 1000")
+add("L8", lambda t: t.customers.select("customer_id", "age").orderBy(scalar.draw(42, "customer_id"), "customer_id").limit(100), f"SELECT customer_id, age FROM customers ORDER BY {draw_sql(42, 'customer_id')}, customer_id LIMIT 100")
+add("L9", lambda t: t.coupon_clips.select("clip_id", "product_id").where(scalar.draw(42, "clip_id", "product_id") < 0.3), f"SELECT clip_id, product_id FROM coupon_clips WHERE {draw_sql(42, 'clip_id', 'product_id')} < 0.3")
+add("L10", lambda t: t.products.select("product_id").orderBy(scalar.draw(7, "product_id"), "product_id").limit(500), f"SELECT product_id FROM products ORDER BY {draw_sql(7, 'product_id')}, product_id LIMIT 500")
 both("U1", "SELECT product_id, 'clip' AS kind, count(*) AS n FROM {coupon_clips} GROUP BY product_id UNION ALL SELECT CAST(product_id AS INT), 'sale', count(*) FROM {transactions} GROUP BY product_id UNION ALL SELECT product_id, 'offer', count(*) FROM {recommendations} GROUP BY product_id")
 both("U2", "SELECT product_id FROM {transactions} EXCEPT SELECT CAST(product_id AS BIGINT) FROM {products}")
 both("U3", "SELECT DISTINCT category, brand FROM {products}")
-add("U4", lambda t: t.products.select("product_id", F.lit("a").alias("part")).orderBy(F.xxhash64(F.lit(1), "product_id")).limit(70).unionByName(t.products.select("product_id", F.lit("b").alias("part")).orderBy(F.xxhash64(F.lit(2), "product_id")).limit(30)))
+add("U4", lambda t: t.products.select("product_id", F.lit("a").alias("part")).orderBy(scalar.draw(1, "product_id"), "product_id").limit(70).unionByName(t.products.select("product_id", F.lit("b").alias("part")).orderBy(scalar.draw(2, "product_id"), "product_id").limit(30)),
+    " UNION ALL ".join(f"(SELECT product_id, '{p}' AS part FROM products ORDER BY {draw_sql(i, 'product_id')}, product_id LIMIT {n})" for p, i, n in (("a", 1, 70), ("b", 2, 30))))
 
 
 def labelled_pairs(t: Tables) -> DataFrame:
@@ -218,14 +221,15 @@ add("M3", labelled_pairs, """SELECT CAST(u.customer_id AS BIGINT) AS customer_id
 
 
 def negatives(t: Tables) -> DataFrame:
-    """Four products per customer, drawn by a hash of customer and draw over the numbered catalogue."""
+    """Four products per customer, drawn by seed, customer and number over the numbered catalogue."""
     numbered = t.products.select("product_id").withColumn("k", F.row_number().over(Window.orderBy("product_id")) - 1)  # catalogue-sized
     count = t.products.count()
-    draws = t.customers.select("customer_id", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("draw")).withColumn("k", F.pmod(F.xxhash64("customer_id", "draw"), F.lit(count)).cast("int"))
+    draws = t.customers.select("customer_id", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("draw")).withColumn("k", F.floor(scalar.draw(42, "customer_id", "draw") * count).cast("int"))
     return draws.join(numbered, "k").select("customer_id", "draw", "product_id")
 
 
-add("M4", negatives)
+add("M4", negatives, f"""WITH n AS (SELECT product_id, row_number() OVER (ORDER BY product_id) - 1 AS k, count(*) OVER () AS c FROM products), d AS (SELECT customer_id, CAST(draw AS INTEGER) AS draw FROM customers, range(1, 5) r(draw))
+    SELECT customer_id, draw, product_id FROM d JOIN n ON k = floor({draw_sql(42, "customer_id", "draw")} * c)""")
 add("P17_vocabulary", lambda t: features.vocabulary(t.products, "category"), "SELECT category AS value, CAST(row_number() OVER (ORDER BY category) AS INTEGER) AS id FROM (SELECT DISTINCT category FROM products WHERE category IS NOT NULL)")
 
 # ---- scalar functions
@@ -235,10 +239,10 @@ both("F2", "SELECT transaction_id, round(total * 3, 1) AS r FROM {transactions}
 both("F2_all", "SELECT transaction_id, CAST(round(CAST(total AS DECIMAL(18,2)) * 3, 1) AS DOUBLE) AS r FROM {transactions}")  # totals are in cents; ties away from zero
 both("F3", "SELECT product_id, nullif(price, 0) AS price FROM {products}")
 both("F4", "SELECT customer_id, coalesce(state, 'unknown') AS state, CAST(coalesce(age, 0) AS INT) AS age FROM {customers}")
-add("F5", lambda t: t.customers.select("customer_id", (F.rand(7) < 0.5).alias("half")))
+add("F5", lambda t: t.customers.select("customer_id", (scalar.draw(7, "customer_id") < 0.5).alias("half")), f"SELECT customer_id, {draw_sql(7, 'customer_id')} < 0.5 AS half FROM customers")
 both("F6", "SELECT product_id, round(ln(greatest(price, 1e-6)), 9) AS log_price FROM {products} WHERE price IS NOT NULL")
-both("F7", "SELECT product_id, round(exp(-popularity_score * 2), 9) AS decay, round(sqrt(popularity_score), 9) AS root FROM {products}")
-BOOK.queries["F8"], BOOK.sql["F8"] = BOOK.queries["F7"], BOOK.sql["F7"]
+both("F7", "SELECT product_id, round(exp(-popularity_score * 2), 9) AS decay FROM {products}")
+both("F8", "SELECT product_id, round(sqrt(units), 9) AS weight, round(sqrt(popularity_score), 9) AS root FROM (SELECT p.product_id, popularity_score, count(t.product_id) AS units FROM {products} p LEFT JOIN {transactions} t ON t.product_id = p.product_id GROUP BY p.product_id, popularity_score) x")
 add("F9", lambda t: t.products.select("product_id", scalar.clip(F.col("popularity_score"), 0.2, 0.8).alias("x")), "SELECT product_id, greatest(0.2, least(popularity_score, 0.8)) AS x FROM products")
 both("F10", "SELECT transaction_id, abs(quantity) AS q, greatest(0, quantity) AS positive FROM {transactions}")
 add("F11", lambda t: t.products.select("product_id", F.round(scalar.sigmoid(F.col("popularity_score") * 7 - 3), 9).alias("p")), "SELECT product_id, round(1 / (1 + exp(-(popularity_score * 7 - 3))), 9) AS p FROM products")
@@ -261,8 +265,8 @@ add("F18", lambda t: t.spark.range(60).select(F.col("id").alias("epoch"), F.expr
 add("F19", lambda t: t.customers.select("customer_id", scalar.card_number(F.col("customer_id")).alias("card")), "SELECT customer_id, printf('EC%010d', customer_id) AS card FROM customers")
 both("F20", "SELECT customer_id, concat(lower(first_name), '.', lower(last_name), CAST(customer_id % 100 AS STRING)) AS name FROM {customers} WHERE first_name IS NOT NULL AND last_name IS NOT NULL")
 BOOK.sql["F20"] = BOOK.sql["F20"].replace("STRING", "VARCHAR")
-add("F21", lambda t: t.stores.select("store_id", F.split("address", " ")[0].alias("number"), F.upper(F.trim("city")).alias("city"), F.initcap(F.lower(F.lit("oak HILL road"))).alias("title")),
-    "SELECT store_id, split_part(address, ' ', 1) AS number, upper(trim(city)) AS city, 'Oak Hill Road' AS title FROM stores")
+add("F21", lambda t: t.stores.select("store_id", F.split("address", " ")[0].alias("number"), F.upper(F.trim("city")).alias("city"), scalar.title(F.col("address")).alias("title")),
+    r"SELECT store_id, split_part(address, ' ', 1) AS number, upper(trim(city)) AS city, array_to_string(list_transform(regexp_extract_all(address, '\p{L}+|\P{L}+'), lambda w: upper(w[1]) || lower(w[2:])), '') AS title FROM stores")
 add("F22", lambda t: t.stores.select("store_id", scalar.phone(F.col("phone")).alias("phone")),
     "WITH d AS (SELECT store_id, regexp_replace(phone, '[^0-9]', '', 'g') AS d FROM stores) SELECT store_id, CASE WHEN length(d) >= 10 THEN '(' || substr(right(d, 10), 1, 3) || ') ' || substr(right(d, 10), 4, 3) || '-' || right(d, 4) END AS phone FROM d")
 add("F23", lambda t: t.stores.select("store_id", scalar.zip5(F.col("zip_code")).alias("zip")), "SELECT store_id, lpad(substr(trim(split_part(trim(zip_code), '-', 1)), 1, 5), 5, '0') AS zip FROM stores")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import shutil
 import struct
@@ -169,6 +170,47 @@ def read_vector_file(spark: SparkSession, path: str | Sequence[str], rows_per_ta
     return spark.range(0, len(parts), 1, max(1, len(parts))).mapInArrow(run, "id bigint, vector array<float>")
 
 
+def write_npz_files(df: DataFrame, folder: str, key: str, vector: str) -> list[str]:
+    """Write (id, vector) of all rows as NPZ files with the arrays `ids` and `vectors`, one per partition that has rows; the paths.
+
+    `folder` is a local or mounted path that all executors can open. NULL and vectors of several lengths in a partition
+    are errors; numbers keep their type (float or double).
+    """
+    os.makedirs(folder, exist_ok=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors = [], []
+        for batch in batches:
+            own, lists = batch.columns
+            if own.null_count or lists.null_count or (flat := lists.flatten()).null_count or len(np.unique(lists.value_lengths().to_numpy())) > 1:
+                raise ValueError("an array file holds vectors of one length and no NULL")
+            if batch.num_rows:
+                ids.append(own.to_numpy())
+                vectors.append(flat.to_numpy().reshape(batch.num_rows, -1))
+        if ids:
+            path = f"{folder}/{uuid.uuid4().hex}.npz"
+            np.savez(path, ids=np.concatenate(ids), vectors=np.concatenate(vectors))
+            yield pa.RecordBatch.from_arrays([pa.array([path])], names=["path"])
+
+    return [r[0] for r in df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("vector")).mapInArrow(run, "path string").collect()]
+
+
+def read_npz_files(spark: SparkSession, path: str | Sequence[str], kind: str = "float") -> DataFrame:
+    """(id bigint, vector array of `kind`) of NPZ files with `ids` and `vectors`, from any file system; a task reads whole files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                with np.load(io.BytesIO(content.as_py())) as held:
+                    ids, vectors = held["ids"], np.ascontiguousarray(held["vectors"], {"float": "<f4", "double": "<f8"}[kind])
+                for at in range(0, len(ids), 10_000):
+                    part = vectors[at : at + 10_000]
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, part.size + 1, part.shape[1]), pa.int32()), pa.array(part.ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 10_000].astype(np.int64)), lists], names=["id", "vector"])
+
+    return spark.read.format("binaryFile").load(path if isinstance(path, str) else list(path)).select("content").mapInArrow(run, f"id bigint, vector array<{kind}>")
+
+
 def first_by_id(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """One row per key: the first by `order`, combined before it moves."""
     rest = [c for c in df.columns if c != key]

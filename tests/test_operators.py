@@ -222,6 +222,62 @@ def test_pages(spark):
     assert set(got) == {1, 3} and (got[1]["address"], got[1]["zip_code"], got[1]["state"], got[3]["latitude"]) == ("1 Oak St", "00123", "NY", 3.0)
 
 
+def test_pages_with_several_stores(spark):
+    """Lists in an attribute, quoted either way and with entities; several blocks and lists of data; other types; hours."""
+    import html
+    import json
+
+    from aislewise.sources.pages import store_pages
+
+    def store(number, **more):
+        return {"storeNumber": number, "address": {"firstLine": "12 MAIN ST", "secondLine": "o'fallon, mo, 63366-1"}, "mapPin": {"lat": 1.5, "lng": -2}, "phone": "1-636-555-0100", **more}
+
+    days = [{"weekday": d, "startTime": "8", "endTime": "9"} for d in ("Mon", "SAT")]
+    ad = {"address": {"city": "x", "state": "ny", "zip": "10001", "street": "5 Elm"}, "hours": {"departments": [{"name": "Pharmacy", "regHours": [{"weekday": "MON", "startTime": "1", "endTime": "2"}]}, {"name": "Retail", "regHours": days}]}}
+    listed = json.dumps({"storeResult": [store("1"), store("2", address={"firstLine": "", "secondLine": "rome, ny 13440"}, weeklyAdData=ad, indicators=["MinuteClinic"]), store(""), store("3", mapPin={"lat": 0, "lng": 0}), store("4", address={})]})
+    item = {"@type": "Store", "branchCode": "7", "name": "A & B", "address": {"streetAddress": "1 oak st"}, "geo": {"latitude": "3", "longitude": "4"}}
+    block = '<script type="application/ld+json">{}</script>'.format
+    pages = {
+        1: f'<x slcp-props="{html.escape(listed)}"></x>' + block(json.dumps(item)), 2: f"<x slcp-props='{listed.replace(chr(39), '&#39;')}'></x>",
+        3: block(json.dumps([item, {**item, "branchCode": "8", "@type": "Pharmacy"}, {**item, "@type": "Person"}])) + block("{broken") + block(json.dumps({**item, "branchCode": None, "identifier": "9"})),
+        4: '<x slcp-props="{broken"></x>' + block(json.dumps(item)), 5: '<x slcp-props=""></x>',
+    }
+    got = {}
+    for r in store_pages(spark.createDataFrame(list(pages.items()), "id int, html string"), "id", "html").collect():
+        got.setdefault(r["id"], {})[r["store"]] = r
+    assert {k: set(v) for k, v in got.items()} == {1: {"1", "2"}, 2: {"1", "2"}, 3: {"7", "8", "9"}, 4: {"7"}}
+    a, b = got[1]["1"], got[1]["2"]
+    assert (a["address"], a["city"], a["state"], a["zip_code"], a["phone"], a["kind"], a["hours_sat"]) == ("12 Main St", "O'Fallon", "MO", "63366", "(636) 555-0100", "pharmacy", "")
+    assert (b["address"], b["city"], b["state"], b["zip_code"], b["kind"], b["hours_mon_fri"], b["hours_sun"]) == ("5 Elm", "Rome", "NY", "13440", "clinic", "8 - 9", "")
+    assert got[3]["9"]["name"] == "A & B" and got[2]["1"]["address"] == "12 Main St"
+
+
+def test_array_files(spark, tmp_path):
+    rows = [(i, [float(i), i / 3]) for i in range(500)]
+    for kind, exact in (("float", np.float32), ("double", np.float64)):
+        df = spark.createDataFrame(rows, f"i int, v array<{kind}>")
+        paths = files.write_npz_files(df.repartition(3), str(tmp_path / kind), "i", "v")
+        assert len(paths) == 3 and set(np.load(paths[0])) == {"ids", "vectors"}
+        assert {r["id"]: r["vector"] for r in files.read_npz_files(spark, paths, kind).collect()} == {i: exact(v).tolist() for i, v in rows}
+    with pytest.raises(Exception, match="an array file holds"):
+        files.write_npz_files(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "i int, v array<float>").coalesce(1), str(tmp_path / "bad"), "i", "v")
+
+
+def test_small_functions(spark):
+    from aislewise.functions import scalar
+
+    texts = {"oak HILL road": "Oak Hill Road", "24TH o'neil-ST": "24Th O'Neil-St", "": "", None: None, "é à": "É À"}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r["t"]: r["x"] for r in df.select("t", scalar.title(F.col("t")).alias("x")).collect()} == texts
+    drawn = [r[0] for r in spark.range(4000).select(scalar.draw(1, "id")).collect()]
+    assert 0 <= min(drawn) and max(drawn) < 1 and abs(sum(drawn) / 4000 - 0.5) < 0.02
+    cases = [(100.0, 100.0, "PASS"), (119.0, 100.0, "PASS"), (70.0, 100.0, "WARN"), (150.0, 100.0, "FAIL"), (1.0, 0.0, None), (None, 1.0, None)]
+    got = spark.createDataFrame(cases, "v double, t double, w string").select(quality.compared(F.col("v"), F.col("t")), "w").collect()
+    assert all(a == b for a, b in got)
+    runs = spark.createDataFrame([(1, 10.0), (1, 20.0), (2, 14.0), (2, 16.0), (3, 30.0), (3, None)], "week int, x double")
+    assert series.first_and_last(runs, "week", ["x"], 0.1).collect()[0].asDict() == {"metric": "x", "first_mean": 15.0, "last_mean": 30.0, "last_std": 0.0, "steady_at": 2, "variation": 0.0, "change": 1.0}
+
+
 def test_vector_files_of_partitions(spark, tmp_path):
     rows = [(i, [float(i), i / 3]) for i in range(1000)]
     df = spark.createDataFrame(rows, "i int, v array<float>")
