@@ -43,12 +43,30 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sparse_groups(rows, ["date", "product_id"], "transaction_id", "customer_id", 10, 6)
 
 
+_KEYS, _ITEMS = ("date", "store_id", "product_id"), ("customer_id", "product_id")
+_SETS = [[k for i, k in enumerate(_KEYS) if bits >> i & 1] for bits in range(1, 8)]
+
+
 def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Estimated customers and products per date, store, product and combination of these, with 95% intervals."""
     rows = table(spark, sf_dir, "transactions", "customer_id", "date", "store_id", "product_id")
-    keys = ["date", "store_id", "product_id"]
-    sets = [[k for i, k in enumerate(keys) if bits >> i & 1] for bits in range(1, 8)]
-    return estimates(sketch(rows, sets, ["customer_id", "product_id"]))
+    return estimates(sketch(rows, _SETS, _ITEMS))
+
+
+def p4_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p4_counts against exact counts: per set and item the groups, and whether no more of them lie outside their interval than one in twenty (and four deviations)."""
+    rows = table(spark, sf_dir, "transactions", "customer_id", "date", "store_id", "product_id")
+    exact = None
+    for keys in _SETS:
+        for item in _ITEMS:
+            own = rows.select(*(F.col(k).alias(f"k_{k}") for k in keys), F.col(item).alias("x")).dropna().distinct().groupBy(*(f"k_{k}" for k in keys)).agg(F.count(F.lit(1)).alias("n"))
+            part = own.select(F.lit("+".join(keys)).alias("grouping"), F.lit(item).alias("item"), F.concat_ws("|", *(F.col(f"k_{k}").cast("string") for k in keys)).alias("g"), "n")
+            exact = part if exact is None else exact.unionByName(part)
+    seen = p4_counts(spark, sf_dir).withColumn("g", F.concat_ws("|", *(F.col(k).cast("string") for k in _KEYS)))
+    both = exact.join(seen, ["grouping", "item", "g"], "full")
+    outside = F.sum(F.when(F.col("n").between(F.col("low"), F.col("high")), 0).otherwise(1))
+    sketched = F.sum(F.when(F.col("low") < F.col("high"), 1).otherwise(0))
+    return both.groupBy("grouping", "item").agg(F.count(F.lit(1)).alias("groups"), (outside <= 0.05 * sketched + 4 * F.sqrt(0.05 * 0.95 * sketched)).alias("covered"))
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +87,7 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p3_found, p3_lift, p3_pairs, p4_found, p4_counts, p7_ids, p8_found, p8_answers, p9_pieces)}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_lift, p3_pairs, p4_found, p4_counts, p4_coverage, p7_ids, p8_found, p8_answers, p9_pieces)}
 
 
 _PAIRS = """
@@ -105,6 +123,9 @@ def oracle_sql() -> dict[str, str]:
             SELECT p.a AS product_a, p.b AS product_b, t AS together, x.c AS baskets_a, y.c AS baskets_b, n AS baskets,
               t * CAST(n AS DOUBLE) / (x.c * CAST(y.c AS DOUBLE)) AS lift
             FROM p JOIN i x ON x.product_id = p.a JOIN i y ON y.product_id = p.b, n""",
+        "p4_coverage": " UNION ALL ".join(
+            f"SELECT '{'+'.join(s)}' AS grouping, '{i}' AS item, count(*) AS groups, true AS covered FROM (SELECT DISTINCT {', '.join(s)} FROM transactions WHERE {' AND '.join(f'{c} IS NOT NULL' for c in [*s, i])})" for s in _SETS for i in _ITEMS
+        ),
         "p4_found": """
             SELECT 'date' AS field, strftime(date, '%Y-%m-%d') AS group_key FROM transactions WHERE date IS NOT NULL GROUP BY date
             HAVING count(DISTINCT transaction_id) >= 10 AND 6 * count(DISTINCT customer_id) < count(DISTINCT transaction_id)

@@ -7,9 +7,13 @@ from aislewise.llm import queries
 QUERIES, SQL = queries.queries(), queries.oracle_sql()
 
 
+#: Queries that SQL can't express, and the tests of their operators.
+TESTED = {"p4_counts": "test_counts.py and p4_coverage", "p7_ids": "test_bpe.py", "p8_found": "test_leakage.py", "p8_answers": "test_leakage.py", "p9_pieces": "test_splitting.py"}
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(same, name):
-    same(QUERIES[name], SQL.get(name))
+    same(QUERIES[name], SQL.get(name), name in TESTED)
 
 
 def test_all_pairs_of_baskets(spark):
