@@ -1,7 +1,8 @@
 """Pairs of items in the same basket, counted by heavy-light decomposition.
 
 Baskets are the distinct items of each key. An item is heavy if it is in at least one basket in HEAVY_ONE_IN, so there
-are at most HEAVY_ONE_IN times the mean basket size of them, whatever the data. Over blocks of baskets:
+are at most HEAVY_ONE_IN times the mean basket size of them, whatever the data; of more than MOST_HEAVY the most frequent
+ones are, and the rest count as light, which gives the same counts. Over blocks of baskets:
 
 * heavy with heavy: a bit matrix (a row of bits per heavy item) and popcounts of ANDed rows;
 * heavy with light: each light item's list of baskets probes the heavy rows;
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from aislewise.staging import stage
 
 HEAVY_ONE_IN, LONG = 64, 24
+#: Heavy items have a table of counts in each task: 8 bytes for each two of them, 134 MB.
+MOST_HEAVY = 4096
 _BLOCK = 32_768
 #: Candidates up to this number (512 kB of ids) are sent along; more are joined.
 SENT_ITEMS = 65_536
@@ -135,8 +138,8 @@ def cooccurrence(df: DataFrame, basket: Sequence[str], item: str, min_baskets: i
     total = baskets.count()
     least = max(1, min_baskets, int(np.ceil(min_share * total - 1e-9)))
     wanted = held.where(F.col("held") >= least)
-    # at most HEAVY_ONE_IN * mean basket size rows
-    heavy = np.array(sorted(r[0] for r in wanted.where(F.col("held") * HEAVY_ONE_IN >= total).select("item").collect()), np.int64)
+    often = wanted.where(F.col("held") * HEAVY_ONE_IN >= total).orderBy(F.col("held").desc(), "item").limit(MOST_HEAVY)
+    heavy = np.array(sorted(r[0] for r in often.select("item").collect()), np.int64)
     chosen = wanted.count()
     sent = None
     if chosen <= SENT_ITEMS:

@@ -86,8 +86,15 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "split_limits"))
 
 
+def p9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each limit: pieces, cuts, the share of cuts at the ends of units, their mean depth, and that of a cut at random in the same windows."""
+    pieces = p9_pieces(spark, sf_dir)
+    cuts = F.sum((F.col("cut") != "end").cast("bigint"))
+    return pieces.groupBy("limit_id").agg(F.count(F.lit(1)).alias("pieces"), cuts.alias("cuts"), (F.count("depth") / cuts).alias("at_units"), F.avg("depth").alias("depth"), F.avg("usual_depth").alias("random_depth"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p3_found, p3_lift, p3_pairs, p4_found, p4_counts, p4_coverage, p7_ids, p8_found, p8_answers, p9_pieces)}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_lift, p3_pairs, p4_found, p4_counts, p4_coverage, p7_ids, p8_found, p8_answers, p9_pieces, p9_quality)}
 
 
 _PAIRS = """

@@ -125,14 +125,18 @@ def _rise(alike: np.ndarray) -> np.ndarray:
     return peak
 
 
-def cut_points(ends: np.ndarray, unit: np.ndarray, depth: np.ndarray, most: int, overlap: int, between: np.ndarray) -> list[tuple[int, int]]:
-    """Token ranges of the pieces of one text.
+#: Where a piece ends: at a gap between units, between words, inside a word, at the end of the text.
+CUTS = ("unit", "word", "character", "end")
+
+
+def cut_points(ends: np.ndarray, unit: np.ndarray, depth: np.ndarray, most: int, overlap: int, between: np.ndarray) -> list[tuple[int, int, int, float, float]]:
+    """Token ranges of the pieces of one text, with the place in CUTS, the depth of a cut at a unit and the mean depth of its window's gaps (NaN of others).
 
     ends: token position after each word; unit: which positions of `ends` close a unit, with its `depth`; between: for
     each token position 0..n, the largest one not above it that lies between two characters.
     """
     total, pieces, begin, done = int(ends[-1]), [], 0, 0
-    gaps = ends[unit]
+    gaps, sums = ends[unit], np.append(0.0, np.cumsum(depth)).tolist()
     while total - begin > most:
         limit = begin + most
         after = begin + 1  # the next piece must begin at a later character, with its overlap
@@ -141,22 +145,22 @@ def cut_points(ends: np.ndarray, unit: np.ndarray, depth: np.ndarray, most: int,
         low = max(done, after + overlap - 1)
         a, b = gaps.searchsorted((low, limit), "right").tolist()
         if b > a:
-            best = depth[a:b]
-            cut = int(gaps[b - 1 - int(best[::-1].argmax())])
+            at = b - 1 - int(depth[a:b][::-1].argmax())
+            cut, how = int(gaps[at]), (0, float(depth[at]), (sums[b] - sums[a]) / (b - a))
         else:
             at = int(ends.searchsorted(limit, "right")) - 1
             if at >= 0 and ends[at] > low:
-                cut = int(ends[at])
+                cut, how = int(ends[at]), (1, np.nan, np.nan)
             else:
-                cut = int(between[limit])
+                cut, how = int(between[limit]), (2, np.nan, np.nan)
                 if cut <= low:  # one character is longer than the room left: it stays whole
                     cut = limit
-        pieces.append((begin, cut))
+        pieces.append((begin, cut, *how))
         done = cut
         begin = max(int(between[max(cut - overlap, 0)]), begin + 1)
         if begin < done and total - begin > most and between[begin] != begin:
             begin = done
-    pieces.append((begin, total))
+    pieces.append((begin, total, 3, np.nan, np.nan))
     return pieces
 
 
@@ -178,8 +182,8 @@ class Splitter:
             first[t], lead[t] = first[a], lead[a] + lead[b]
         self.inside, self.lead = (first >= 0x80) & (first < 0xC0), lead
 
-    def split(self, texts: Sequence[str]) -> Iterator[tuple[int, int, int, int, int, int, int]]:
-        """(text, limit, piece from 1, first character, end character, tokens, tokens shared with the piece before)."""
+    def split(self, texts: Sequence[str]) -> Iterator[tuple[int, int, int, int, int, int, int, int, float, float]]:
+        """(text, limit, piece from 1, first character, end character, tokens, tokens shared with the piece before, place in CUTS, depth, mean depth)."""
         e, w = self.encoder, self.words
         _, codes, counts = e.split(list(texts))
         w.learn()
@@ -214,19 +218,21 @@ class Splitter:
                 if totals[i] <= most:
                     continue
                 before = 0
-                for number, (a, b) in enumerate(cut_points(ends, unit, depth, most, overlap, between), 1):
-                    yield i, k, number, chars[a], chars[b], b - a, max(0, before - a)
+                for number, (a, b, *how) in enumerate(cut_points(ends, unit, depth, most, overlap, between), 1):
+                    yield i, k, number, chars[a], chars[b], b - a, max(0, before - a), *how
                     before = b
 
 
 def split_oversized(
     docs: DataFrame, limits: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary_path: str | None = None
 ) -> DataFrame:
-    """(id, limit_id, piece, start_char, end_char, n_tokens, shared_tokens, piece_text), pieces numbered from 1.
+    """(id, limit_id, piece, start_char, end_char, n_tokens, shared_tokens, cut, depth, usual_depth, piece_text), pieces numbered from 1.
 
     For each text with more than max_tokens tokens of a row of `limits`: pieces in order that cover the text, each of at
     most max_tokens, where a piece begins overlap_tokens before the end of the one before it (a token or two earlier
-    where that would cut a character; shared_tokens says how many). NULL, empty and shorter texts have no pieces.
+    where that would cut a character; shared_tokens says how many). `cut` is where the piece ends (see CUTS), `depth` the
+    depth of the valley there and `usual_depth` the mean over all gaps it was chosen from, both NULL if it is no unit's
+    end. NULL, empty and shorter texts have no pieces.
     Repeated rows are split each. Limits with NULL or less than 1 token are left out; an overlap that is NULL or
     negative counts as 0, one of half the limit or more as just under half. Other columns are not read. Nothing is shuffled unless
     the source has fewer files than there are cores; what is
@@ -240,7 +246,7 @@ def split_oversized(
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()
     limit_kind = limits.schema["limit_id"].dataType.simpleString()
-    schema = f"id {kind}, limit_id {limit_kind}, piece int, start_char int, end_char int, n_tokens int, shared_tokens int, piece_text string"
+    schema = f"id {kind}, limit_id {limit_kind}, piece int, start_char int, end_char int, n_tokens int, shared_tokens int, cut string, depth double, usual_depth double, piece_text string"
     if not chosen:
         return spark.createDataFrame([], schema).withColumnRenamed("id", id_col)
     least, limit_type = min(m for _, m, _ in chosen), to_arrow_type(limits.schema["limit_id"].dataType)
@@ -259,11 +265,15 @@ def split_oversized(
                 part = texts[at:to]
                 out = list(splitter.split(part))
                 if out:
-                    cols = np.array(out, np.int64).T
-                    pieces = [part[i][a:b] for i, _, _, a, b, _, _ in out]
+                    cols = np.array([x[:8] for x in out], np.int64).T
+                    depths = np.array([x[8:] for x in out]).T
+                    pieces = [part[x[0]][x[3] : x[4]] for x in out]
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(cols[0] + at)), names.take(pa.array(cols[1])), *(pa.array(c, pa.int32()) for c in cols[2:]), pa.array(pieces, pa.string())],
-                        names=["id", "limit_id", "piece", "start_char", "end_char", "n_tokens", "shared_tokens", "piece_text"],
+                        [
+                            batch.column(0).take(pa.array(cols[0] + at)), names.take(pa.array(cols[1])), *(pa.array(c, pa.int32()) for c in cols[2:7]), pa.array(CUTS).take(pa.array(cols[7])),
+                            *(pa.array(d, pa.float64(), from_pandas=True) for d in depths), pa.array(pieces, pa.string()),
+                        ],
+                        names=["id", "limit_id", "piece", "start_char", "end_char", "n_tokens", "shared_tokens", "cut", "depth", "usual_depth", "piece_text"],
                     )
                 at = to
 

@@ -32,7 +32,7 @@ def test_invariants(truth):
     splitter = Splitter(Vocabulary.load(default_vocabulary()), LIMITS)
     every = texts()
     by = {}
-    for i, k, number, a, b, n, shared in splitter.split(every):
+    for i, k, number, a, b, n, shared, *_ in splitter.split(every):
         by.setdefault((i, k), []).append((number, a, b, n, shared))
     for i, text in enumerate(every):
         for k, (_, most, overlap) in enumerate(LIMITS):
@@ -143,8 +143,17 @@ def test_deepest_valley_of_the_whole_window():
     ends, unit = np.arange(10, 210, 10), np.arange(19)
     depth = np.full(19, 0.1)
     depth[2] = 0.9  # at 30, in the lower half of the first window
-    assert cut_points(ends, unit, depth, 100, 10, np.arange(201))[0] == (0, 30)
-    assert cut_points(ends, unit, depth, 100, 30, np.arange(201))[0] == (0, 100)  # not above the overlap
+    assert cut_points(ends, unit, depth, 100, 10, np.arange(201))[0][:2] == (0, 30)
+    assert cut_points(ends, unit, depth, 100, 30, np.arange(201))[0][:2] == (0, 100)  # not above the overlap
     # a character of four tokens at the start: a cut so near that the next piece would begin inside it is none
     between = np.array([0, 0, 0, 0, *range(4, 201)])
-    assert cut_points(np.array([4, 12, 20, 200]), np.array([1, 2]), np.array([0.9, 0.1]), 100, 10, between)[:2] == [(0, 20), (10, 110)]
+    assert [p[:3] for p in cut_points(np.array([4, 12, 20, 200]), np.array([1, 2]), np.array([0.9, 0.1]), 100, 10, between)[:2]] == [(0, 20, 0), (10, 110, 2)]
+
+
+def test_what_a_cut_is(spark):
+    """Kind and depth of each cut, and that chosen valleys are deeper than the others in their windows."""
+    docs = spark.createDataFrame([(0, texts()[0]), (1, "x" * 3000), (2, "word " * 300)], "doc_id int, text string")
+    rows = split_oversized(docs, spark.createDataFrame([(1, 100, 10)], "limit_id int, max_tokens int, overlap_tokens int")).collect()
+    by = {i: [r for r in sorted(rows, key=lambda r: r["piece"]) if r["doc_id"] == i] for i in (0, 1, 2)}
+    assert all([r["cut"] for r in own[:-1]] == [kind] * (len(own) - 1) and own[-1]["cut"] == "end" for own, kind in zip(by.values(), ("unit", "character", "word"), strict=True))
+    assert all(r["depth"] >= r["usual_depth"] - 1e-9 for r in by[0][:-1]) and all(r["depth"] is r["usual_depth"] is None for own in by.values() for r in own if r["cut"] != "unit")
