@@ -43,6 +43,8 @@ def customer_product_matrix(tx: DataFrame) -> DataFrame:
 
 
 _LONG, _BLOCK, _STRIPE = 24, 16_384, 512
+#: Cells of a count matrix of long baskets (32 MB).
+_CELLS = 1 << 22
 
 
 def co_purchase(tx: DataFrame) -> DataFrame:
@@ -88,12 +90,16 @@ def _pairs(basket: np.ndarray, code: np.ndarray, n: np.ndarray) -> Iterator[tupl
         pair, back = np.unique(np.concatenate(keys), return_inverse=True)
         yield pair // width, pair % width, np.bincount(back, np.concatenate(weights))
     if long.any():
-        own, column = np.unique(code[long], return_inverse=True)
-        rows, row = np.unique(basket[long], return_inverse=True)
-        matrix = np.zeros((len(rows), len(own)))
-        matrix[row, column] = n[long]
-        for at in range(0, len(own), _STRIPE):
-            product = np.triu(matrix[:, at : at + _STRIPE].T @ matrix[:, at:], 1)
-            i, j = np.nonzero(product)
-            if len(i):
-                yield own[at + i], own[at + j], product[i, j]
+        ids, of = np.unique(basket[long], return_inverse=True)
+        lc, ln = code[long], n[long]
+        step = max(1, _CELLS // len(np.unique(lc)))
+        for first in range(0, len(ids), step):
+            some = (of >= first) & (of < first + step)
+            own, column = np.unique(lc[some], return_inverse=True)
+            matrix = np.zeros((min(step, len(ids) - first), len(own)))
+            matrix[of[some] - first, column] = ln[some]
+            for at in range(0, len(own), _STRIPE):
+                product = np.triu(matrix[:, at : at + _STRIPE].T @ matrix[:, at:], 1)
+                i, j = np.nonzero(product)
+                if len(i):
+                    yield own[at + i], own[at + j], product[i, j]

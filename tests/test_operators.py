@@ -17,6 +17,7 @@ from aislewise.streaming.windows import first_deliveries, run_available, session
 def test_co_purchase(spark, monkeypatch):
     monkeypatch.setattr(warehouse, "_LONG", 5)
     monkeypatch.setattr(warehouse, "_STRIPE", 3)
+    monkeypatch.setattr(warehouse, "_CELLS", 60)
     rng = random.Random(1)
     rows = [(c, "2024-01-0%d" % d, rng.randint(1, 30)) for c in range(12) for d in (1, 2) for _ in range(rng.choice([1, 2, 4, 15]))]
     rows += [(None, "2024-01-01", 1), (1, None, 2), (1, "2024-01-01", None)]
