@@ -4,8 +4,9 @@ Sentences and lines are the units. At each gap between units, the words of the u
 after it (cosine of exact word counts over a sliding block on either side; of scripts written without spaces, pairs of
 neighbouring characters stand for words); a gap's depth is how far its similarity lies below the peaks on both sides.
 Pieces are laid from the left: of the unit gaps in the size window, above the overlap, the deepest ends the piece (of
-equal ones the last); else the last gap between words; else the last token boundary between two characters. The next
-piece begins overlap tokens before that cut.
+equal ones the last). Without any: the last comma, semicolon, bar or closing bracket in the upper half of the window;
+else the last gap at white space; else the last gap between the tokenizer's words; else the last token boundary between two
+characters. The next piece begins overlap tokens before that cut.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ SIDE = 4
 _CHUNK_CHARS = 400_000
 #: Of these, the ASCII ones end a sentence only before white space or the end of the text.
 _STOPS, _SPACED_STOPS = ".!?…。！？؟।", ".!?"
+_PAUSES = ",;|)]}>，；：、"
 _CLOSERS = "\"'”’»)]}*_"
 MAX_LIMITS = 10_000
 #: Scripts without spaces between words: Thai, Lao, Burmese, Khmer, kana, ideographs.
@@ -61,6 +63,8 @@ class _Words:
         self.line = np.zeros(0, bool)  # holds a line end
         self.blank = np.zeros(0, bool)  # white space only
         self.open = np.zeros(0, bool)  # begins with white space
+        self.pause = np.zeros(0, bool)  # marks that divide a sentence or a list
+        self.digit = np.zeros(0, bool)  # begins with a digit
         self.code: dict[str, int] = {}  # of each term
         self.first = np.zeros(1, np.int64)  # terms of word w: term[first[w]] to term[first[w + 1]]
         self.term = np.zeros(0, np.int64)
@@ -74,10 +78,10 @@ class _Words:
         new = list(self.known)[have:]
         bare = [w.rstrip(_CLOSERS) for w in new]
         flags = np.array(
-            [[b[-1:] in _STOPS and b[-1:] not in _SPACED_STOPS, b != "" and b[-1] in _SPACED_STOPS, w == ".", len(w.strip()) == 1 and w.strip().isalpha(), "\n" in w or "\r" in w or " " in w or " " in w, w.isspace(), w[0].isspace()] for w, b in zip(new, bare, strict=True)]
+            [[b[-1:] in _STOPS and b[-1:] not in _SPACED_STOPS, b != "" and b[-1] in _SPACED_STOPS, w == ".", len(w.strip()) == 1 and w.strip().isalpha(), "\n" in w or "\r" in w or " " in w or " " in w, w.isspace(), w[0].isspace(), any(c in _PAUSES for c in w) and not any(map(str.isalnum, w)), w[0].isdigit()] for w, b in zip(new, bare, strict=True)]
         )
         terms = [terms_of(w) for w in new]
-        for name, values in zip(("stop", "spaced", "dot", "letter", "line", "blank", "open"), flags.T, strict=True):
+        for name, values in zip(("stop", "spaced", "dot", "letter", "line", "blank", "open", "pause", "digit"), flags.T, strict=True):
             setattr(self, name, np.append(getattr(self, name), values))
         self.term = np.append(self.term, np.array([self.code.setdefault(x, len(self.code)) for own in terms for x in own], np.int64))
         self.first = np.append(self.first, self.first[-1] + np.cumsum([len(own) for own in terms]))
@@ -125,17 +129,19 @@ def _rise(alike: np.ndarray) -> np.ndarray:
     return peak
 
 
-#: Where a piece ends: at a gap between units, between words, inside a word, at the end of the text.
-CUTS = ("unit", "word", "character", "end")
+#: Where a piece ends: at a gap between units, behind a comma or the like, at white space, between the tokenizer's words, inside one, at the end of the text.
+CUTS = ("unit", "pause", "space", "word", "character", "end")
 
 
-def cut_points(ends: np.ndarray, unit: np.ndarray, depth: np.ndarray, most: int, overlap: int, between: np.ndarray) -> list[tuple[int, int, int, float, float]]:
+def cut_points(ends: np.ndarray, unit: np.ndarray, depth: np.ndarray, most: int, overlap: int, between: np.ndarray, pause: np.ndarray | None = None, space: np.ndarray | None = None) -> list[tuple[int, int, int, float, float]]:
     """Token ranges of the pieces of one text, with the place in CUTS, the depth of a cut at a unit and the mean depth of its window's gaps (NaN of others).
 
     ends: token position after each word; unit: which positions of `ends` close a unit, with its `depth`; between: for
-    each token position 0..n, the largest one not above it that lies between two characters.
+    each token position 0..n, the largest one not above it that lies between two characters; pause, space: which positions
+    of `ends` are at a pause and at white space, all if not given.
     """
     total, pieces, begin, done = int(ends[-1]), [], 0, 0
+    softer = [(k + 1, ends if at is None else ends[at]) for k, at in enumerate((pause, space, None)) if k == 2 or at is not None]
     gaps, sums = ends[unit], np.append(0.0, np.cumsum(depth)).tolist()
     while total - begin > most:
         limit = begin + most
@@ -148,11 +154,13 @@ def cut_points(ends: np.ndarray, unit: np.ndarray, depth: np.ndarray, most: int,
             at = b - 1 - int(depth[a:b][::-1].argmax())
             cut, how = int(gaps[at]), (0, float(depth[at]), (sums[b] - sums[a]) / (b - a))
         else:
-            at = int(ends.searchsorted(limit, "right")) - 1
-            if at >= 0 and ends[at] > low:
-                cut, how = int(ends[at]), (1, np.nan, np.nan)
+            for kind, places in softer:
+                at = int(places.searchsorted(limit, "right")) - 1
+                if at >= 0 and places[at] > (max(low, begin + most // 2) if kind == 1 else low):
+                    cut, how = int(places[at]), (kind, np.nan, np.nan)
+                    break
             else:
-                cut, how = int(between[limit]), (2, np.nan, np.nan)
+                cut, how = int(between[limit]), (4, np.nan, np.nan)
                 if cut <= low:  # one character is longer than the room left: it stays whole
                     cut = limit
         pieces.append((begin, cut, *how))
@@ -160,7 +168,7 @@ def cut_points(ends: np.ndarray, unit: np.ndarray, depth: np.ndarray, most: int,
         begin = max(int(between[max(cut - overlap, 0)]), begin + 1)
         if begin < done and total - begin > most and between[begin] != begin:
             begin = done
-    pieces.append((begin, total, 3, np.nan, np.nan))
+    pieces.append((begin, total, 5, np.nan, np.nan))
     return pieces
 
 
@@ -203,11 +211,13 @@ class Splitter:
             short = w.dot[own]
             short[3:] &= w.letter[own[2:-1]] & ~w.open[own[2:-1]] & w.dot[own[1:-2]] & w.letter[own[:-3]]
             short[:3] = False
-            closes = w.stop[own] | w.line[own] | (w.spaced[own] & ~short & np.append(w.open[own[1:]], True))
+            opens = np.append(w.open[own[1:]], True)
+            closes = w.stop[own] | w.line[own] | (w.spaced[own] & ~short & opens)
             tail = np.append(blank[1:], False)  # white space follows: the gap moves behind it
             run_end = np.flatnonzero(~tail)
             moved = np.unique(run_end[np.searchsorted(run_end, np.flatnonzero(closes))])
             unit = moved[moved < last]
+            pause, space = np.flatnonzero(w.pause[own] & ~np.append(w.digit[own[1:]], False)), np.flatnonzero(opens | blank)
             depth = np.zeros(len(unit))
             if len(unit):
                 belongs = np.searchsorted(unit, np.arange(len(own)), side="left")
@@ -218,7 +228,7 @@ class Splitter:
                 if totals[i] <= most:
                     continue
                 before = 0
-                for number, (a, b, *how) in enumerate(cut_points(ends, unit, depth, most, overlap, between), 1):
+                for number, (a, b, *how) in enumerate(cut_points(ends, unit, depth, most, overlap, between, pause, space), 1):
                     yield i, k, number, chars[a], chars[b], b - a, max(0, before - a), *how
                     before = b
 

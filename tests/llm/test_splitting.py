@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 from aislewise.llm.bpe import Vocabulary
 from aislewise.llm.encode import default_vocabulary
-from aislewise.llm.splitting import Splitter, cut_points, gap_depths, split_oversized
+from aislewise.llm.splitting import CUTS, Splitter, cut_points, gap_depths, split_oversized
 
 LIMITS = [("a", 128, 16), ("b", 64, 0), ("c", 40, 19), ("d", 7, 3)]
 
@@ -147,7 +147,7 @@ def test_deepest_valley_of_the_whole_window():
     assert cut_points(ends, unit, depth, 100, 30, np.arange(201))[0][:2] == (0, 100)  # not above the overlap
     # a character of four tokens at the start: a cut so near that the next piece would begin inside it is none
     between = np.array([0, 0, 0, 0, *range(4, 201)])
-    assert [p[:3] for p in cut_points(np.array([4, 12, 20, 200]), np.array([1, 2]), np.array([0.9, 0.1]), 100, 10, between)[:2]] == [(0, 20, 0), (10, 110, 2)]
+    assert [p[:3] for p in cut_points(np.array([4, 12, 20, 200]), np.array([1, 2]), np.array([0.9, 0.1]), 100, 10, between)[:2]] == [(0, 20, 0), (10, 110, 4)]
 
 
 def test_what_a_cut_is(spark):
@@ -155,5 +155,17 @@ def test_what_a_cut_is(spark):
     docs = spark.createDataFrame([(0, texts()[0]), (1, "x" * 3000), (2, "word " * 300)], "doc_id int, text string")
     rows = split_oversized(docs, spark.createDataFrame([(1, 100, 10)], "limit_id int, max_tokens int, overlap_tokens int")).collect()
     by = {i: [r for r in sorted(rows, key=lambda r: r["piece"]) if r["doc_id"] == i] for i in (0, 1, 2)}
-    assert all([r["cut"] for r in own[:-1]] == [kind] * (len(own) - 1) and own[-1]["cut"] == "end" for own, kind in zip(by.values(), ("unit", "character", "word"), strict=True))
+    assert all([r["cut"] for r in own[:-1]] == [kind] * (len(own) - 1) and own[-1]["cut"] == "end" for own, kind in zip(by.values(), ("unit", "character", "space"), strict=True))
     assert all(r["depth"] >= r["usual_depth"] - 1e-9 for r in by[0][:-1]) and all(r["depth"] is r["usual_depth"] is None for own in by.values() for r in own if r["cut"] != "unit")
+
+
+def test_softer_cuts():
+    """Without sentence ends: behind commas and brackets, but not inside numbers; else at white space; else between words of the tokenizer."""
+    splitter = Splitter(Vocabulary.load(default_vocabulary()), [("x", 60, 5)])
+    record = '{"item":"price-tag","n":2,160,"tags":["local","sealed"]},'
+    cases = {"pause": (record * 40, (",", "}", "]", '"')), "space": ("lamp bulb cat " * 200, ("lamp", "bulb", "cat")), "word": ("abc123def456" * 100, ("c", "f", "3", "6"))}
+    for kind, (text, last) in cases.items():
+        pieces = list(splitter.split([text]))
+        assert {CUTS[p[7]] for p in pieces[:-1]} == {kind} and CUTS[pieces[-1][7]] == "end"
+        assert all(text[: p[4]].rstrip().endswith(last) for p in pieces[:-1])
+        assert not any(text[p[4] - 2 : p[4] + 1].replace(",", "0").isdigit() for p in pieces[:-1] if kind == "pause")
