@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from aislewise.functions.scalar import margin, money_sum, ratio
+from aislewise.functions.scalar import dot, margin, money_sum, ratio
 from aislewise.operators import breakout, elasticity, features, quality, ranking, series, vectors, warehouse
 from aislewise.plans.common import Book, Tables
 
@@ -127,8 +127,6 @@ def group_affinity(t: Tables) -> DataFrame:
     """Mean score of each product in each group of customers: the groups' mean vectors against all products."""
     groups = vectors.mean_vectors(vectors_of(t, "customers"), "label", "embedding")
     products = vectors_of(t, "products").select(F.col("vec_id").alias("id"), F.col("embedding").alias("p"))
-    from aislewise.functions.scalar import dot
-
     top = products.crossJoin(F.broadcast(groups)).select("label", "n", "id", F.round(dot(F.col("p"), F.col("embedding")), 6).alias("score"))  # a handful of groups
     by = Window.partitionBy("label").orderBy(F.col("score").desc(), "id")
     return top.withColumn("place", F.row_number().over(by)).where("place <= 100").select("label", F.col("n").alias("customers"), "id", "score")
@@ -137,7 +135,21 @@ def group_affinity(t: Tables) -> DataFrame:
 add("A28", group_affinity, f"""WITH s AS (SELECT a.label, b.vec_id AS id, round(avg({DOT}), 6) AS score, count(*) AS customers FROM embeddings a, embeddings b
       WHERE a.vec_id % 2 = 0 AND b.vec_id % 2 = 1 GROUP BY 1, 2)
     SELECT label, customers, id, score FROM s QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, id) <= 100""")
-BOOK.queries["R18"], BOOK.sql["R18"] = BOOK.queries["A28"], BOOK.sql["A28"]
+
+
+def state_offers(t: Tables) -> DataFrame:
+    """The ten products with the highest mean score in each state of the customers that vectors with even ids stand for."""
+    people = vectors_of(t, "customers").join(t.customers.select(F.col("customer_id").alias("vec_id"), F.upper(F.trim("state")).alias("state")), "vec_id").where("state IS NOT NULL")
+    places = vectors.mean_vectors(people, "state", "embedding")
+    products = vectors_of(t, "products").select(F.col("vec_id").alias("id"), F.col("embedding").alias("p"))
+    top = products.crossJoin(F.broadcast(places)).select("state", F.col("n").alias("customers"), "id", F.round(dot(F.col("p"), F.col("embedding")), 6).alias("score"))  # one row per state
+    by = Window.partitionBy("state").orderBy(F.col("score").desc(), "id")
+    return top.withColumn("place", F.row_number().over(by)).where("place <= 10")
+
+
+add("R18", state_offers, f"""WITH s AS (SELECT upper(trim(state)) AS state, b.vec_id AS id, round(avg({DOT}), 6) AS score, count(*) AS customers FROM embeddings a JOIN customers ON customer_id = a.vec_id, embeddings b
+      WHERE a.vec_id % 2 = 0 AND b.vec_id % 2 = 1 AND state IS NOT NULL GROUP BY 1, 2)
+    SELECT state, customers, id, score, CAST(row_number() OVER (PARTITION BY state ORDER BY score DESC, id) AS INTEGER) AS place FROM s QUALIFY place <= 10""")
 add("A30", lambda t: vectors.mean_vectors(t.embeddings.where("label = 1"), None, "embedding", True).select("n", F.posexplode("embedding").alias("pos", "x")).select("n", "pos", F.round("x", 6).alias("x")),
     """WITH u AS (SELECT unnest(range(len(embedding))) AS pos, unnest(embedding) AS v FROM embeddings WHERE label = 1), m AS (SELECT pos, avg(CAST(v AS DOUBLE)) AS m, count(*) AS n FROM u GROUP BY 1)
     SELECT n, CAST(pos AS INTEGER) AS pos, round(m / sqrt(sum(m * m) OVER ()), 6) AS x FROM m""")
@@ -204,7 +216,7 @@ add("D35", lambda t: t.spark.createDataFrame(list(FILED.items()), "benchmark str
 CV = "c AS (SELECT week, stddev_pop(revenue) / nullif(avg(revenue), 0) AS cv FROM wk GROUP BY 1)"
 add("W6", lambda t: series.converged_at(weekly(t).groupBy("week").agg((F.stddev_pop("revenue") / F.nullif(F.avg("revenue"), F.lit(0.0))).alias("cv")), "week", "cv", 10, 2.5),
     f"WITH {WEEKLY}, {CV}, m AS (SELECT week, max(cv) OVER w AS most, count(*) OVER w AS k FROM c WINDOW w AS (ORDER BY week ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)) SELECT min(week) AS converged_at FROM m WHERE k = 10 AND most < 2.5")
-BOOK.queries["W7"], BOOK.sql["W7"] = BOOK.queries["A37"], BOOK.sql["A37"]
+both("W7", f"SELECT category, month, revenue, CAST(sum(CAST(revenue AS DECIMAL(18,2))) OVER (PARTITION BY category ORDER BY month) AS DOUBLE) AS running FROM (SELECT p.category, CAST(date_trunc('month', t.date) AS DATE) AS month, {money('t.total')} AS revenue FROM {{transactions}} t JOIN {{products}} p ON p.product_id = t.product_id WHERE t.date IS NOT NULL GROUP BY p.category, CAST(date_trunc('month', t.date) AS DATE)) x")
 add("W1", lambda t: pf(t).select("product_id", "revenue", F.rank().over(Window.orderBy(F.col("revenue").desc())).alias("place")), f"WITH {PF} SELECT product_id, revenue, CAST(rank() OVER (ORDER BY revenue DESC) AS INTEGER) AS place FROM pf")
 both("W3", "SELECT store_id, state, CAST(row_number() OVER (PARTITION BY state ORDER BY store_id) AS INT) AS place FROM {stores}")
 
@@ -238,7 +250,7 @@ P_PRODUCT = LEVELS + """, pp AS (SELECT product_id, level, sum(clips) AS clips,
 P_CATEGORY = LEVELS + """, pp AS (SELECT category, level, sum(clips) AS clips, ln(greatest(sum(redeemed) / CAST(sum(clips) AS DOUBLE), 1e-6)) AS y FROM lv WHERE level IS NOT NULL AND category IS NOT NULL
       GROUP BY 1, 2 HAVING sum(clips) >= 10 AND sum(redeemed) > 0), """
 add("A13", levels, f"WITH {LEVELS} SELECT * FROM lv")
-BOOK.queries["A14"], BOOK.sql["A14"] = BOOK.queries["A13"], BOOK.sql["A13"]
+both("A14", f"SELECT CAST(floor(price / 5) AS INT) AS band, lower(trim(category)) AS kind, count(*) AS n, {money('price')} AS total FROM {{products}} GROUP BY CAST(floor(price / 5) AS INT), lower(trim(category))")
 add("R7", lambda t: rounded(by_product(t), "beta", "se").drop("p_value"), f"WITH {P_PRODUCT} {fit_sql('pp', 'product_id')} SELECT product_id, points, round(beta, 6) AS beta, round(se, 6) AS se FROM f")
 # the two-sided tail of Student's t at whole degrees of freedom, in closed form over the angle atan(t / sqrt(dof))
 TAIL = """, g AS (SELECT *, greatest(points - 2, 1) AS dof, CASE WHEN se > 0 THEN atan(abs(beta / se) / sqrt(greatest(points - 2, 1))) END AS a FROM f), h AS (SELECT *, cos(a) AS c1, CASE WHEN se > 0 THEN 1 - CASE WHEN dof % 2 = 1
@@ -307,8 +319,11 @@ add("V3_padded", lambda t: vectors.top_k_cosine(t.embeddings.where("vec_id = 100
     f"""WITH {UNIT}, s AS (SELECT round(list_dot_product(a.e, b.e) / (a.n * b.n), 6) AS score, row_number() OVER (ORDER BY list_dot_product(a.e, b.e) / (a.n * b.n) DESC) AS place FROM u a, u b WHERE a.vec_id = 100 AND b.vec_id < 3)
     SELECT CAST(100 AS BIGINT) AS query_id, CAST(p.place AS INTEGER) AS place, coalesce(score, 0) AS score FROM range(1, 6) p(place) LEFT JOIN s ON s.place = p.place""")
 add("V4", lambda t: rounded(vectors.top_k_cosine(t.embeddings.where("vec_id % 100 = 0"), t.embeddings, "vec_id", "embedding", 10), "score"), top_sql("a.vec_id % 100 = 0", 10))
-BOOK.queries["L4"], BOOK.sql["L4"] = BOOK.queries["V4"], BOOK.sql["V4"]
-BOOK.queries["L5"], BOOK.sql["L5"] = BOOK.queries["V3"], BOOK.sql["V3"]
+#: The three best products of each customer by plain scores, and the hundred best pairs of all.
+add("L4", lambda t: vectors.all_pairs(vectors_of(t, "customers"), vectors_of(t, "products"), "vec_id", "embedding").withColumn("score", F.round("score", 6)).withColumn("place", F.row_number().over(Window.partitionBy("left_id").orderBy(F.col("score").desc(), "right_id"))).where("place <= 3"),
+    f"WITH s AS (SELECT a.vec_id AS left_id, b.vec_id AS right_id, round({DOT}, 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 2 = 0 AND b.vec_id % 2 = 1) SELECT *, CAST(row_number() OVER (PARTITION BY left_id ORDER BY score DESC, right_id) AS INTEGER) AS place FROM s QUALIFY place <= 3")
+add("L5", lambda t: rounded(vectors.all_pairs(vectors_of(t, "customers"), vectors_of(t, "products"), "vec_id", "embedding"), "score").orderBy(F.col("score").desc(), "left_id", "right_id").limit(100),
+    f"SELECT a.vec_id AS left_id, b.vec_id AS right_id, round({DOT}, 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 2 = 0 AND b.vec_id % 2 = 1 ORDER BY 3 DESC, 1, 2 LIMIT 100")
 #: The other direction of V4: for products (odd ids) the customers (even ids) with the highest score; every product is a query.
 add("R19", lambda t: vectors.top_k_cosine(vectors_of(t, "products"), vectors_of(t, "customers"), "vec_id", "embedding", 5).withColumnsRenamed({"query_id": "product_id", "id": "customer_id"}).withColumn("score", F.round("score", 6)),
     top_sql("a.vec_id % 2 = 1 AND b.vec_id % 2 = 0", 5).replace("SELECT query_id, id, score,", "SELECT query_id AS product_id, id AS customer_id, score,"))
@@ -325,7 +340,7 @@ BOOK.sql["R17"] = BOOK.sql["R17"].replace("average * buyers * (margin * price)",
 RECENT = "lp AS (SELECT customer_id, product_id, max(date) AS last_day FROM transactions WHERE customer_id IS NOT NULL AND product_id IS NOT NULL AND date IS NOT NULL GROUP BY 1, 2), rc AS (SELECT *, CAST(row_number() OVER (PARTITION BY customer_id ORDER BY last_day DESC, product_id) AS INTEGER) AS place FROM lp QUALIFY place <= 5)"
 CLIPPED = "cp AS (SELECT DISTINCT CAST(customer_id AS BIGINT) AS customer_id, product_id FROM coupon_clips JOIN customers USING (loyalty_number))"
 add("R5", lambda t: ranking.last_products(t.transactions, 5), f"WITH {RECENT} SELECT * FROM rc")
-BOOK.queries["W2"], BOOK.sql["W2"] = BOOK.queries["R5"], BOOK.sql["R5"]
+both("W2", f"SELECT store_id, product_id, revenue, place FROM (SELECT store_id, product_id, revenue, CAST(row_number() OVER (PARTITION BY store_id ORDER BY revenue DESC, product_id) AS INT) AS place FROM (SELECT store_id, product_id, {money('total')} AS revenue FROM {{transactions}} WHERE product_id IS NOT NULL AND total IS NOT NULL GROUP BY store_id, product_id) x) y WHERE place <= 3")
 add("R6", lambda t: ranking.clipped_products(t.coupon_clips, t.customers), f"WITH {CLIPPED} SELECT * FROM cp")
 add("R4", lambda t: rounded(ranking.constrained_top(t.recommendations.select(F.col("customer_id").cast("bigint").alias("customer_id"), F.col("product_id").cast("bigint").alias("product_id"), F.col("raw_score").alias("score"), "category", F.col("margin_pct").alias("margin")),
                                                   ranking.last_products(t.transactions, 5), ranking.clipped_products(t.coupon_clips, t.customers)), "score", "final"),
@@ -337,7 +352,7 @@ add("R4", lambda t: rounded(ranking.constrained_top(t.recommendations.select(F.c
     q AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY customer_id, category ORDER BY final DESC, product_id) <= 3)
     SELECT CAST(customer_id AS BIGINT) AS customer_id, CAST(product_id AS BIGINT) AS product_id, category, round(score, 6) AS score, round(final, 6) AS final, CAST(row_number() OVER (PARTITION BY customer_id ORDER BY final DESC, product_id) AS INTEGER) AS place FROM q
     QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY final DESC, product_id) <= 10""")
-BOOK.queries["W4"], BOOK.sql["W4"] = BOOK.queries["R4"], BOOK.sql["R4"]
+both("W4", "SELECT product_id, category, popularity_score FROM (SELECT product_id, category, popularity_score, row_number() OVER (PARTITION BY category ORDER BY popularity_score DESC, product_id) AS place FROM {products} WHERE popularity_score IS NOT NULL) x WHERE place <= 3 ORDER BY popularity_score DESC, product_id LIMIT 20")
 add("J12", lambda t: rounded(ranking.adjusted(t.recommendations.where("raw_score IS NOT NULL").select("customer_id", "product_id", F.col("raw_score").cast("double").alias("score")), ranking.last_products(t.transactions, 5), ranking.clipped_products(t.coupon_clips, t.customers), 0.5, 1.15), "score"),
     f"""WITH {RECENT}, {CLIPPED} SELECT r.customer_id, r.product_id, round(CAST(raw_score AS DOUBLE) * (CASE WHEN rc.product_id IS NOT NULL THEN 0.5 ELSE 1.0 END) * (CASE WHEN cp.product_id IS NOT NULL THEN 1.15 ELSE 1.0 END), 6) AS score FROM recommendations r
       LEFT JOIN rc ON rc.customer_id = r.customer_id AND rc.product_id = r.product_id LEFT JOIN cp ON cp.customer_id = r.customer_id AND cp.product_id = r.product_id WHERE raw_score IS NOT NULL""")

@@ -80,10 +80,12 @@ SEG = CF + """, cu AS (SELECT quantile_cont(spend, 0.5) AS p50, quantile_cont(sp
       CASE WHEN clips > 0 AND redemption_rate >= 0.4 THEN 'Redeemer' WHEN clips > 0 THEN 'Clipper' ELSE 'Non-clipper' END AS coupon_tier FROM cf, cu)"""
 add("D18", lambda t: segments(t).groupBy("spend_tier", "coupon_tier").agg(F.count(F.lit(1)).alias("customers"), ratio(F.sum(F.col("spend").cast("decimal(18,2)")), F.count(F.lit(1))).alias("mean_spend"), ratio(F.sum("transactions"), F.count(F.lit(1))).alias("mean_transactions"), F.round(F.avg("redemption_rate"), 9).alias("redemption")),
     f"WITH {SEG} SELECT spend_tier, coupon_tier, count(*) AS customers, {money('spend')} / count(*) AS mean_spend, CAST(sum(transactions) AS DOUBLE) / count(*) AS mean_transactions, round(avg(redemption_rate), 9) AS redemption FROM sg GROUP BY 1, 2")
-BOOK.queries["A25"], BOOK.sql["A25"] = BOOK.queries["D18"], BOOK.sql["D18"]
+report("A25", f"SELECT CASE WHEN age < 30 THEN 'young' WHEN age < 55 THEN 'middle' WHEN age IS NULL THEN 'unknown' ELSE 'older' END AS band, sensitivity, count(*) AS customers, {mean('spend')} AS mean_spend FROM {{cf}} GROUP BY CASE WHEN age < 30 THEN 'young' WHEN age < 55 THEN 'middle' WHEN age IS NULL THEN 'unknown' ELSE 'older' END, sensitivity")
 add("D19", lambda t: segments(t).groupBy("spend_tier").pivot("coupon_tier", ["Redeemer", "Clipper", "Non-clipper"]).count().na.fill(0).select("spend_tier", F.col("Redeemer").alias("redeemers"), F.col("Clipper").alias("clippers"), F.col("Non-clipper").alias("others")),
     f"WITH {SEG} SELECT spend_tier, count(*) FILTER (coupon_tier = 'Redeemer') AS redeemers, count(*) FILTER (coupon_tier = 'Clipper') AS clippers, count(*) FILTER (coupon_tier = 'Non-clipper') AS others FROM sg GROUP BY 1")
-BOOK.queries["A26"], BOOK.sql["A26"] = BOOK.queries["D19"], BOOK.sql["D19"]
+add("A26", lambda t: cf(t).groupBy("sensitivity").pivot("gender", ["F", "M", "NB"]).agg(F.count(F.lit(1)).alias("n"), ratio(F.sum(F.col("spend").cast("decimal(18,2)")), F.count(F.lit(1))).alias("mean")).na.fill(0)
+    .select("sensitivity", *(F.col(f"{g}_{x}").alias(f"{x}_{g.lower()}") for g in ("F", "M", "NB") for x in ("n", "mean"))),
+    f"WITH {CF} SELECT sensitivity, " + ", ".join(f"count(*) FILTER (gender = '{g}') AS n_{g.lower()}, coalesce(CAST(sum(CAST(spend AS DECIMAL(18,2))) FILTER (gender = '{g}') AS DOUBLE) / nullif(count(*) FILTER (gender = '{g}'), 0), 0) AS mean_{g.lower()}" for g in ("F", "M", "NB")) + " FROM cf GROUP BY 1")
 report("D20", "SELECT customer_id, loyalty_number, age, gender, state, is_student, spend, transactions, avg_basket, clips, redeemed, redemption_rate, engagement FROM {cf} ORDER BY spend DESC, customer_id LIMIT 100")
 
 

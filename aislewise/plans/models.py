@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from aislewise.functions.scalar import dot, lookup
-from aislewise.operators import ranking, replications, series, towers, vectors
+from aislewise.functions.scalar import dot, draw, lookup
+from aislewise.operators import ranking, replications, series, towers, training, vectors
 from aislewise.plans.analytics import CF, PF, cf, draw_sql, pf, rounded
 from aislewise.plans.common import Book, Tables
+from aislewise.plans.relational import labelled_pairs
 from aislewise.sources.pages import ATTRIBUTE, store_pages
+from aislewise.staging import new_path, stage
 
 BOOK = Book()
 add = BOOK.add
@@ -73,6 +75,35 @@ add("M7", discount_curves,
     u AS (SELECT unnest(range(len(e))) AS pos, unnest(e) AS y FROM ec), mv AS (SELECT list(m ORDER BY pos) AS m FROM (SELECT pos, avg(CAST(y AS DOUBLE)) AS m FROM u GROUP BY 1))
     SELECT product_id, discount, round(list_dot_product(CAST(e AS DOUBLE[]), m), 5) AS score FROM ep, mv""")
 
+
+
+def examples(t: Tables) -> DataFrame:
+    """Labelled pairs with the inputs of both encoders and four drawn products each; unknown customers and products have none."""
+    people = cf(t).select("customer_id", F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("age", "redemption_rate", "engagement", "sensitivity"))).alias("a"))
+    goods = pf(t).select("product_id", F.coalesce("margin", F.lit(0.0)).alias("margin"), F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("margin", "popularity_score", "redemption_rate", "organic_ratio"))).alias("b"))
+    goods, count = stage(goods.withColumn("k", F.row_number().over(Window.orderBy("product_id")) - 1), "goods"), t.products.count()  # catalogue-sized
+    pairs = labelled_pairs(t).select("customer_id", "product_id", "offer", "label", "weight").where("customer_id IS NOT NULL AND product_id IS NOT NULL AND offer IS NOT NULL")
+    drawn = F.array(*(F.floor(draw(9, "customer_id", "product_id", "offer", F.lit(i)) * count).cast("int") for i in range(4)))
+    known = pairs.join(people, "customer_id").join(goods.drop("k"), "product_id")
+    # the catalogue is sent once, as the columns of one row, instead of four joins of all examples
+    every = goods.agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "b"))), lambda x: x["b"]).alias("every"))
+    negative = F.transform(drawn, lambda i: F.concat(F.get(F.col("every"), i), F.array(F.lit(0.0))))
+    return known.crossJoin(F.broadcast(every)).select("customer_id", "product_id", "offer", "label", "weight", "margin", "a", F.concat("b", F.array("offer")).alias("b"), negative.alias("negatives"))  # one row
+
+
+def trained(t: Tables, epochs: int = 4, batches: int = 3) -> DataFrame:
+    """Loss and rate after each epoch of a small model's training."""
+    rng = np.random.default_rng(5)
+
+    def fresh(inputs: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [(rng.normal(0, 1 / np.sqrt(inputs), (inputs, HIDDEN)), np.zeros(HIDDEN)), (rng.normal(0, 1 / np.sqrt(HIDDEN), (HIDDEN, OUT)), np.zeros(OUT))]
+
+    model = training.train(examples(t), ["customer_id", "product_id", "offer"], fresh(4), fresh(5), epochs, batches, new_path(t.spark, "model"), 0.02)
+    return t.spark.createDataFrame(model.epochs, "epoch int, loss double, rate double")
+
+
+add("M5", trained)
+
 #: Fixed values of the replications: runs, epochs, seed, chance of a visit, and the seasonal factor by month.
 RUNS, EPOCHS, SEED, VISIT = 4, 12, 42, 0.15
 SEASON = {0: 0.9, 1: 1.1, 2: 1.0}

@@ -171,7 +171,8 @@ add("P18", lambda t: t.customers.select("customer_id", *(F.when(F.col("gender")
     "SELECT customer_id, CASE gender WHEN 'F' THEN 1.0::DOUBLE ELSE 0 END AS is_f, CASE gender WHEN 'M' THEN 1.0::DOUBLE ELSE 0 END AS is_m, CASE gender WHEN 'NB' THEN 1.0::DOUBLE ELSE 0 END AS is_nb FROM customers")
 add("F30", lambda t: t.recommendations.where("raw_score IS NOT NULL").select(F.round(F.avg(scalar.bce_with_logits(F.col("raw_score").cast("double"), F.when(F.col("rank") <= 5, 1.0).otherwise(0.0))), 6).alias("loss")),
     "SELECT round(avg(greatest(x, 0) - x * y + ln(1 + exp(-abs(x)))), 6) AS loss FROM (SELECT CAST(raw_score AS DOUBLE) AS x, CASE WHEN rank <= 5 THEN 1.0::DOUBLE ELSE 0 END AS y FROM recommendations WHERE raw_score IS NOT NULL)")
-BOOK.queries["M2"], BOOK.sql["M2"] = BOOK.queries["F30"], BOOK.sql["F30"]
+both("M2", """SELECT round(sum(w * (l + ln(2))) / sum(w), 6) AS loss FROM (SELECT (0.5 + least(greatest(margin_pct, 0), 0.75) / 0.75) * CASE WHEN rank <= 5 THEN 1 ELSE 0.5 END AS w,
+    greatest(x, 0) - x * CASE WHEN rank <= 5 THEN 1 ELSE 0 END + ln(1 + exp(-abs(x))) AS l FROM (SELECT CAST(raw_score AS DOUBLE) AS x, rank, CAST(margin_pct AS DOUBLE) AS margin_pct FROM {recommendations} WHERE raw_score IS NOT NULL AND margin_pct IS NOT NULL AND rank IS NOT NULL) y) z""")
 
 # ---- joins
 
@@ -192,6 +193,8 @@ both("J10", "SELECT s.store_id, s.state, n FROM {stores} s JOIN (SELECT state, c
 both("L1", f"SELECT product_id, count(*) AS n FROM {{transactions}} WHERE product_id IS NOT NULL GROUP BY product_id ORDER BY n DESC, product_id LIMIT 25")
 
 
+both("L2", "SELECT customer_id, state, age FROM {customers} ORDER BY customer_id LIMIT 40 OFFSET 50")
+
 # draws by MD5 of seed and key: the same rows in every run and engine, whatever the partitioning
 add("L6", lambda t: t.transactions.select("transaction_id", "product_id").where(scalar.draw(42, "transaction_id") < 0.1), f"SELECT transaction_id, product_id FROM transactions WHERE {draw_sql(42, 'transaction_id')} < 0.1")
 BLOCK_ROWS = 256

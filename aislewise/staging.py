@@ -1,7 +1,8 @@
 """Intermediate tables in the folder that all executors share.
 
 Operators that read one intermediate result several times, or that iterate, write it as Parquet here instead of
-keeping it in executors: the files outlive a lost executor and cut the lineage.
+keeping it in executors: the files outlive a lost executor and cut the lineage. They are removed when the driver ends or, in
+a session that goes on, at the end of a `scope`.
 """
 
 from __future__ import annotations
@@ -14,9 +15,12 @@ import tempfile
 import uuid
 import warnings
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _counter = itertools.count()
 _written: list[tuple[SparkSession, str]] = []
@@ -27,7 +31,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = "file://" + tempfile.mkdtemp(prefix="aislewise-")
     spark.conf.set("spark.checkpoint.dir", folder)
@@ -42,10 +46,11 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` once and return the table read back: same rows and columns, short lineage."""
+def stage(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Write `df` once, in a folder per value of `by` if given, and return the table read back: same rows and columns, short lineage."""
     path = new_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.hint("rebalance", F.col(by)).write.partitionBy(by) if by else df.write
+    writer.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -85,10 +90,26 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextmanager
+def scope() -> Iterator[None]:
+    """Remove at its end what was staged inside: run a query and write or fetch its result within one."""
+    kept = list(_written)
+    try:
+        yield
+    finally:
+        new = [x for x in _written if x not in kept and "/code-" not in x[1] and "/aislewise/" in x[1]]
+        _written[:] = [x for x in _written if x not in new]
+        _remove(new)
+
+
 def release() -> None:
     """Remove every staged table. DataFrames that still read one can't be used afterwards."""
-    while _written:
-        spark, path = _written.pop()
+    _remove(_written)
+
+
+def _remove(paths: list[tuple[SparkSession, str]]) -> None:
+    while paths:
+        spark, path = paths.pop()
         try:
             delete(spark, path)
         except Exception:  # the session has ended: what is no local file is left to the cluster's own cleaning

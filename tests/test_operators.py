@@ -313,3 +313,15 @@ def test_rounding_of_every_total(spark):
     assert min(ties) < 0 < max(ties) and None in dict(exact).values()
     expect = [(i, None if x is None else float(x.quantize(Decimal("0.1"), ROUND_HALF_UP))) for i, x in exact]
     assert sorted(map(str, map(tuple, registry.queries()["F2_all"](spark, folder).collect()))) == sorted(map(str, expect))
+
+
+def test_scope(spark):
+    from pathlib import Path
+
+    from aislewise.staging import scope
+
+    before = stage(spark.range(3), "kept")
+    with scope():
+        path = stage(spark.range(5), "inside").inputFiles()[0].removeprefix("file:").replace("///", "/")
+        assert Path(path).exists()
+    assert not Path(path).exists() and before.count() == 3
