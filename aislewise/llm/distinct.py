@@ -18,6 +18,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,6 +94,11 @@ def partial_sketches(df: DataFrame, groupings: Sequence[Sequence[str]], items: S
     item is no value. Repeated rows and ties change nothing, an empty table has no groups, other columns are not read. The
     rows may be written, and later united with those of other data and merged again.
     """
+    return _named(_partials(df, groupings, items, registers), groupings, items)
+
+
+def _partials(df: DataFrame, groupings: Sequence[Sequence[str]], items: Sequence[str], registers: int) -> DataFrame:
+    """The same with numbers for the names, __k0, __k1, ... for the keys."""
     if registers < 3 or any(registers % d == 0 for d in range(2, int(registers**0.5) + 1)):
         raise ValueError("registers must be a prime of 3 or more")
     keys = list(dict.fromkeys(c for g in groupings for c in g))
@@ -139,14 +145,16 @@ def partial_sketches(df: DataFrame, groupings: Sequence[Sequence[str]], items: S
         if count:
             yield from flush(pa.Table.from_batches(waiting))
 
-    return _named(narrow.mapInArrow(run, schema), keys, ["+".join(g) for g in groupings], list(items))
+    return narrow.mapInArrow(run, schema)
+
 
+def _named(df: DataFrame, groupings: Sequence[Sequence[str]], items: Sequence[str]) -> DataFrame:
+    keys = list(dict.fromkeys(c for g in groupings for c in g))
 
-def _named(df: DataFrame, keys: Sequence[str], groupings: Sequence[str], items: Sequence[str]) -> DataFrame:
     def name(column: str, names: Sequence[str]) -> Column:
         return F.element_at(F.array(*map(F.lit, names)), F.col(column) + 1).alias(column)
 
-    return df.select(name("grouping", groupings), name("item", items), *(F.col(f"__k{i}").alias(c) for i, c in enumerate(keys)), "hashes", "registers")
+    return df.select(name("grouping", ["+".join(g) for g in groupings]), name("item", items), *(F.col(f"__k{i}").alias(c) for i, c in enumerate(keys)), "hashes", "registers")
 
 
 def merge_sketches(partials: DataFrame) -> DataFrame:
@@ -155,14 +163,11 @@ def merge_sketches(partials: DataFrame) -> DataFrame:
     The shuffle moves sketches, not rows: a group that holds a third of all rows sends one sketch per task.
     """
     group = [c for c in partials.columns if c not in ("hashes", "registers")]
-    marked = partials.withColumn("__a", F.xxhash64(*group)).withColumn("__b", F.xxhash64(F.lit(1), *group))
-    ordered = marked.repartition("__a").sortWithinPartitions("__a", "__b")
+    ordered = partials.repartition(*group).sortWithinPartitions(*group)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in partials.schema]
 
     def merged(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        a, b = rows.column("__a").to_numpy(), rows.column("__b").to_numpy()
-        new = np.ones(len(a), bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        new = _starts(rows.select(group))
         code, n = np.cumsum(new) - 1, int(new.sum())
         hashes, values = (rows.column(c).combine_chunks() for c in ("hashes", "registers"))
         sizes = np.diff(hashes.offsets.to_numpy())
@@ -189,8 +194,7 @@ def merge_sketches(partials: DataFrame) -> DataFrame:
         for batch in batches:
             table = pa.Table.from_batches([batch])
             rest = table if rest is None else pa.concat_tables([rest, table])
-            a, b = rest.column("__a").to_numpy(), rest.column("__b").to_numpy()
-            last = int(np.flatnonzero((a != a[-1]) | (b != b[-1]))[-1]) + 1 if ((a != a[-1]) | (b != b[-1])).any() else 0
+            last = int(np.flatnonzero(_starts(rest.select(group)))[-1]) if len(rest) else 0
             if last:
                 yield from merged(rest.slice(0, last))
                 rest = rest.slice(last)
@@ -200,6 +204,22 @@ def merge_sketches(partials: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, ", ".join(fields))
 
 
+def _starts(rows: pa.Table) -> np.ndarray:
+    """Which rows differ from the one before; NULL equals NULL and NaN equals NaN."""
+    new = np.ones(len(rows), bool)
+    if len(rows) < 2:
+        return new
+    differ = np.zeros(len(rows) - 1, bool)
+    for column in rows.columns:
+        a, b = column.slice(1), column.slice(0, len(rows) - 1)
+        other = pc.fill_null(pc.not_equal(a, b), False).to_numpy()
+        if pa.types.is_floating(column.type):
+            other = other & ~(pc.fill_null(pc.is_nan(a), False).to_numpy() & pc.fill_null(pc.is_nan(b), False).to_numpy())
+        differ |= other | (a.is_null().to_numpy() != b.is_null().to_numpy())
+    new[1:] = differ
+    return new
+
+
 def _registers_of(partials: DataFrame) -> int:
     """Registers of the sketches, kept with the schema by `sketch`; the default otherwise."""
     return int(partials.schema["registers"].metadata.get("m", REGISTERS))
@@ -207,8 +227,8 @@ def _registers_of(partials: DataFrame) -> int:
 
 def sketch(df: DataFrame, groupings: Sequence[Sequence[str]], items: Sequence[str], registers: int = REGISTERS) -> DataFrame:
     """Merged sketches of the groups of `df`; see partial_sketches and merge_sketches."""
-    parts = partial_sketches(df, groupings, items, registers)
-    return merge_sketches(parts.withMetadata("registers", {"m": registers}))
+    parts = _partials(df, groupings, items, registers)
+    return _named(merge_sketches(parts.withMetadata("registers", {"m": registers})), groupings, items)
 
 
 def estimates(sketches: DataFrame, confidence: float = 0.95) -> DataFrame:
