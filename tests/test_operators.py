@@ -297,7 +297,7 @@ def test_every_vector_is_written_and_read(spark):
 
     folder = "/root/testdata/sf0.001"
     ids = {r[0] for r in spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id").collect()}
-    assert len(ids) > 200 and {r[0] for r in registry.queries()["S18_all"](spark, folder).select("id").distinct().collect()} == ids
+    assert len(ids) > 200 and {r[0] for r in registry.queries()["S18"](spark, folder).select("id").distinct().collect()} == ids
 
 
 def test_rounding_of_every_total(spark):
@@ -312,7 +312,7 @@ def test_rounding_of_every_total(spark):
     ties = [x for _, x in exact if x is not None and x * 100 % 10 in (5, -5)]
     assert min(ties) < 0 < max(ties) and None in dict(exact).values()
     expect = [(i, None if x is None else float(x.quantize(Decimal("0.1"), ROUND_HALF_UP))) for i, x in exact]
-    assert sorted(map(str, map(tuple, registry.queries()["F2_all"](spark, folder).collect()))) == sorted(map(str, expect))
+    assert sorted(map(str, map(tuple, registry.queries()["F2"](spark, folder).collect()))) == sorted(map(str, expect))
 
 
 def test_scope(spark):
