@@ -10,6 +10,9 @@ ones are, and the rest count as light, which gives the same counts. Over blocks
   own bit matrix of the light items in them, so that no basket's pairs are written out one by one.
 
 Partial counts of all three are added up by pair.
+
+With a least support there are two passes. A pair that reaches its share of all baskets reaches the same share of some
+block, so the first pass sends only the pairs with a light item that do so in a block, and the second counts no others.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ MOST_HEAVY = 4096
 _BLOCK = 32_768
 #: Candidates up to this number (512 kB of ids) are sent along; more are joined.
 SENT_ITEMS = 65_536
+#: Pairs up to this number (16 MB) are sent to the second pass; of more, all pairs are counted.
+SENT_PAIRS = 1_000_000
 _ROWS_AT_ONCE = 64
 
 
@@ -150,9 +155,16 @@ def cooccurrence(df: DataFrame, basket: Sequence[str], item: str, min_baskets: i
             keyed.select("key", F.explode("items").alias("item")).join(wanted.select("item"), "item", "left_semi")
             .groupBy("key").agg(F.collect_list("item").alias("items")).select("items")
         )
+    several = baskets.where(F.size("items") > 1)
+    likely = None
+    if least > 1:
+        near = several.mapInArrow(_likely(heavy, sent, least / max(1, total)), "item_a bigint, item_b bigint").distinct()
+        near = stage(near, "pairs")
+        if near.count() <= SENT_PAIRS:
+            rows = near.toPandas().sort_values(["item_a", "item_b"])
+            likely = spark.sparkContext.broadcast(PairSet(rows["item_a"].to_numpy(np.int64), rows["item_b"].to_numpy(np.int64)))
     counted = (
-        baskets.where(F.size("items") > 1)
-        .mapInArrow(_counts(heavy, sent), "item_a bigint, item_b bigint, n bigint")
+        several.mapInArrow(_counts(heavy, sent, likely), "item_a bigint, item_b bigint, n bigint")
         .groupBy("item_a", "item_b")
         .agg(F.sum("n").alias("together"))
         .where(F.col("together") >= least)
@@ -166,29 +178,72 @@ def cooccurrence(df: DataFrame, basket: Sequence[str], item: str, min_baskets: i
     )
 
 
-def _counts(heavy: np.ndarray, sent):  # noqa: ANN001, ANN202
-    """Partial counts of a partition's baskets; `sent` holds the sorted items that count, None if all do."""
+class PairSet:
+    """Pairs of items, a < b, sorted."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.items = np.unique(np.concatenate([a, b]))
+        self.keys = np.searchsorted(self.items, a) * len(self.items) + np.searchsorted(self.items, b)
+
+    def holds(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(a), bool)
+        most = len(self.items) - 1
+        i, j = (np.minimum(np.searchsorted(self.items, x), most) for x in (a, b))
+        key = i * len(self.items) + j
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return (self.items[i] == a) & (self.items[j] == b) & (self.keys[at] == key)
+
+
+Pairs = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], counter: PairCounter, wanted: np.ndarray | None) -> Iterator[tuple[list[Pairs], int]]:
+    """Counts of the pairs with a light item in each block, a < b, and the block's baskets."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, _BLOCK):
+            lists = whole.slice(at, _BLOCK).column(0)
+            item = lists.flatten().to_numpy(zero_copy_only=False)
+            basket = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            if wanted is not None:
+                if not len(wanted):
+                    continue
+                known = wanted[np.minimum(np.searchsorted(wanted, item), len(wanted) - 1)] == item
+                item, basket = item[known], basket[known]
+            parts = counter.add(basket, item, len(lists))
+            yield [(np.minimum(a, b), np.maximum(a, b), n.astype(np.int64)) for a, b, n in parts], len(lists)
+
+
+def _likely(heavy: np.ndarray, sent, share: float):  # noqa: ANN001, ANN202
+    """Pairs with a light item that are in at least `share` of the baskets of some block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, wanted = PairCounter(heavy), None if sent is None else sent.value
-        schema = pa.schema([("item_a", pa.int64()), ("item_b", pa.int64()), ("n", pa.int64())])
+        for parts, baskets in _blocks(batches, PairCounter(heavy), None if sent is None else sent.value):
+            if not parts:
+                continue
+            a, b, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+            items, code = np.unique(np.concatenate([a, b]), return_inverse=True)
+            key, back = np.unique(code[: len(a)] * len(items) + code[len(a) :], return_inverse=True)  # long and short baskets count a pair apart
+            key = key[np.bincount(back, n) >= share * baskets * (1 - 1e-9)]
+            yield pa.RecordBatch.from_arrays([pa.array(items[key // len(items)]), pa.array(items[key % len(items)])], names=["item_a", "item_b"])
+
+    return run
 
-        def batch_of(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(n.astype(np.int64))], schema=schema)
-
-        for whole in batches:
-            for at in range(0, whole.num_rows, _BLOCK):
-                lists = whole.slice(at, _BLOCK).column(0)
-                item = lists.flatten().to_numpy(zero_copy_only=False)
-                basket = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-                if wanted is not None:
-                    if not len(wanted):
-                        continue
-                    known = wanted[np.minimum(np.searchsorted(wanted, item), len(wanted) - 1)] == item
-                    item, basket = item[known], basket[known]
-                parts = counter.add(basket, item, len(lists))
-                for i in range(0, len(parts), _ROWS_AT_ONCE):
-                    yield batch_of(*(np.concatenate(x) for x in zip(*parts[i : i + _ROWS_AT_ONCE], strict=True)))
-        yield batch_of(*counter.total())
+
+def _counts(heavy: np.ndarray, sent, likely):  # noqa: ANN001, ANN202
+    """Partial counts of a partition's baskets; `sent` holds the sorted items that count and `likely` the pairs with a light item, None if all do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter, wanted, pairs = PairCounter(heavy), *(None if x is None else x.value for x in (sent, likely))
+        schema = pa.schema([("item_a", pa.int64()), ("item_b", pa.int64()), ("n", pa.int64())])
+        for parts, _ in _blocks(batches, counter, wanted):
+            for i in range(0, len(parts), _ROWS_AT_ONCE):
+                a, b, n = (np.concatenate(x) for x in zip(*parts[i : i + _ROWS_AT_ONCE], strict=True))
+                if pairs is not None:
+                    some = pairs.holds(a, b)
+                    a, b, n = a[some], b[some], n[some]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in counter.total()], schema=schema)
 
     return run

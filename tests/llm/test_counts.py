@@ -59,18 +59,19 @@ def brute(rows, least):
     return {(a, b, n, single[a], single[b], len(by)) for (a, b), n in pair.items() if n >= least}
 
 
-@pytest.mark.parametrize(("one_in", "long", "sent", "least"), [(64, 24, 65_536, 1), (8, 4, 65_536, 2), (8, 4, 0, 2), (1, 2, 65_536, 1), (100_000, 2, 65_536, 1)])
+@pytest.mark.parametrize(("one_in", "long", "sent", "least"), [(64, 24, 65_536, 1), (8, 4, 65_536, 2), (8, 4, 0, 2), (1, 2, 65_536, 1), (100_000, 2, 65_536, 1), (8, 4, 65_536, 9), (2, 4, 0, 30)])
 def test_cooccurrence(spark, monkeypatch, one_in, long, sent, least):
     monkeypatch.setattr(co, "HEAVY_ONE_IN", one_in)
     monkeypatch.setattr(co, "LONG", long)
     monkeypatch.setattr(co, "SENT_ITEMS", sent)
     monkeypatch.setattr(co, "_BLOCK", 100)
+    monkeypatch.setattr(co, "SENT_PAIRS", 0 if least == 2 else 1_000_000)  # all pairs are counted, or the likely ones
     monkeypatch.setattr(co, "MOST_HEAVY", 5 if least == 2 else 4096)  # the rest of the heavy items count as light
     rows = baskets()
     df = spark.createDataFrame([(b, "k", i, 1.0) for b, i in rows] + [(1, "k", None, 0.0), (None, "k", 3, 0.0), (1, None, 3, 0.0), (9999, "k", None, 0.0)] + [(b, "k", i, 2.0) for b, i in rows[:50]], "b int, c string, item int, lift double")
     got = {tuple(r)[:6] for r in co.cooccurrence(df, ["b", "c"], "item", min_baskets=least).collect()}
     assert got == brute(rows, least)
-    assert co.cooccurrence(df.limit(0), ["b"], "item").count() == 0
+    assert co.cooccurrence(df.limit(0), ["b"], "item", min_baskets=least).count() == 0
 
 
 def test_registers_are_unbiased():
