@@ -12,6 +12,7 @@ characters. The next piece begins overlap tokens before that cut.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -29,7 +30,7 @@ SIDE = 4
 _CHUNK_CHARS = 400_000
 #: Of these, the ASCII ones end a sentence only before white space or the end of the text.
 _STOPS, _SPACED_STOPS = ".!?…。！？؟।", ".!?"
-_PAUSES = ",;|)]}>，；：、"
+_PAUSES = frozenset(",;|)]}>，；：、")
 _CLOSERS = "\"'”’»)]}*_"
 MAX_LIMITS = 10_000
 #: Scripts without spaces between words: Thai, Lao, Burmese, Khmer, kana, ideographs.
@@ -69,6 +70,16 @@ class _Words:
         self.first = np.zeros(1, np.int64)  # terms of word w: term[first[w]] to term[first[w + 1]]
         self.term = np.zeros(0, np.int64)
 
+    @staticmethod
+    def _flags(w: str) -> tuple[bool, ...]:
+        """stop, spaced, dot, letter, line, blank, open, pause, digit of a word of the encoder."""
+        core = w.strip()
+        if core.isalnum():  # most words
+            return False, False, False, len(core) == 1 and core.isalpha(), "\n" in w or "\r" in w or " " in w or " " in w, False, w[0].isspace(), False, w[0].isdigit()
+        end = w.rstrip(_CLOSERS)[-1:]
+        pause = not _PAUSES.isdisjoint(w) and not any(map(str.isalnum, w))
+        return end != "" and end in _STOPS and end not in _SPACED_STOPS, end != "" and end in _SPACED_STOPS, w == ".", False, "\n" in w or "\r" in w or " " in w or " " in w, core == "", w[0].isspace(), pause, w[0].isdigit()
+
     def learn(self) -> None:
         if self.known is not self.encoder.words:  # the cache has started anew
             self.__init__(self.encoder)
@@ -76,10 +87,7 @@ class _Words:
         if have == len(self.known):
             return
         new = list(self.known)[have:]
-        bare = [w.rstrip(_CLOSERS) for w in new]
-        flags = np.array(
-            [[b[-1:] in _STOPS and b[-1:] not in _SPACED_STOPS, b != "" and b[-1] in _SPACED_STOPS, w == ".", len(w.strip()) == 1 and w.strip().isalpha(), "\n" in w or "\r" in w or " " in w or " " in w, w.isspace(), w[0].isspace(), any(c in _PAUSES for c in w) and not any(map(str.isalnum, w)), w[0].isdigit()] for w, b in zip(new, bare, strict=True)]
-        )
+        flags = np.array([self._flags(w) for w in new])
         terms = [terms_of(w) for w in new]
         for name, values in zip(("stop", "spaced", "dot", "letter", "line", "blank", "open", "pause", "digit"), flags.T, strict=True):
             setattr(self, name, np.append(getattr(self, name), values))
@@ -91,7 +99,12 @@ _known: dict[int, _Words] = {}
 
 
 def gap_depths(words: np.ndarray, terms: np.ndarray, units: int) -> np.ndarray:
-    """Depth of each gap before units 1 to units - 1. `words` has the unit of each word, `terms` its term or -1.
+    """Depth of each gap of one text before units 1 to units - 1. `words` has the unit of each word, `terms` its term or -1."""
+    return _depths(words, terms, units, np.arange(1, units), np.zeros(units - 1, np.int64))
+
+
+def _depths(words: np.ndarray, terms: np.ndarray, units: int, gaps: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Depths of the gaps before the units `gaps` of several texts, whose units are at least 2 * SIDE apart; `text` tells which text a gap is in.
 
     Sums over blocks are made of the products of units at most 2 * SIDE - 1 apart, taken term by term, so that the size
     of the vocabulary doesn't matter.
@@ -109,7 +122,7 @@ def gap_depths(words: np.ndarray, terms: np.ndarray, units: int) -> np.ndarray:
             break
         alike += np.bincount(apart[at] * width + unit[at] + SIDE, (count[at] * count[at + step]).astype(float), len(alike))
     alike = alike.reshape(2 * SIDE, width)
-    gap = np.arange(1, units) + SIDE
+    gap = gaps + SIDE
     block = np.zeros(width)  # squared length of SIDE units from each on
     for k in range(SIDE):
         for i in range(SIDE - k):
@@ -117,16 +130,15 @@ def gap_depths(words: np.ndarray, terms: np.ndarray, units: int) -> np.ndarray:
     both = sum(alike[a + b, gap - a] for a in range(1, SIDE + 1) for b in range(SIDE))
     norm = np.sqrt(block[gap - SIDE] * block[gap])
     alike = np.divide(both, norm, out=np.zeros(len(gap)), where=norm > 0)
-    return _rise(alike) + _rise(alike[::-1])[::-1] - 2 * alike
+    return _rise(alike, text) + _rise(alike[::-1], text[::-1])[::-1] - 2 * alike
 
 
-def _rise(alike: np.ndarray) -> np.ndarray:
-    """The peak reached by climbing to the left from each gap."""
-    peak = alike.copy()
-    for i in range(1, len(peak)):
-        if alike[i - 1] >= alike[i]:
-            peak[i] = peak[i - 1]
-    return peak
+def _rise(alike: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """The peak reached by climbing to the left from each gap, within its text."""
+    place = np.arange(len(alike))
+    if len(alike):
+        place[1:][(alike[:-1] >= alike[1:]) & (text[:-1] == text[1:])] = 0
+    return alike[np.maximum.accumulate(place)]
 
 
 #: Where a piece ends: at a gap between units, behind a comma or the like, at white space, between the tokenizer's words, inside one, at the end of the text.
@@ -140,33 +152,52 @@ def cut_points(ends: np.ndarray, unit: np.ndarray, depth: np.ndarray, most: int,
     each token position 0..n, the largest one not above it that lies between two characters; pause, space: which positions
     of `ends` are at a pause and at white space, all if not given.
     """
-    total, pieces, begin, done = int(ends[-1]), [], 0, 0
-    softer = [(k + 1, ends if at is None else ends[at]) for k, at in enumerate((pause, space, None)) if k == 2 or at is not None]
-    gaps, sums = ends[unit], np.append(0.0, np.cumsum(depth)).tolist()
+    return _cuts(_Places(ends, unit, depth, between, pause, space), most, overlap)
+
+
+class _Places:
+    """The places of one text, as lists, which all limits share."""
+
+    def __init__(self, ends: np.ndarray, unit: np.ndarray, depth: np.ndarray, between: np.ndarray, pause: np.ndarray | None, space: np.ndarray | None) -> None:
+        self.total, self.depth = int(ends[-1]), depth
+        self.gaps, self.sums, self.edges = ends[unit].tolist(), np.append(0.0, np.cumsum(depth)).tolist(), between.tolist()
+        self._softer, self._of = None, (ends, pause, space)
+
+    def softer(self) -> list[tuple[int, list[int]]]:
+        """(place in CUTS, token positions) of what is looked at where no unit ends."""
+        if self._softer is None:
+            ends, pause, space = self._of
+            self._softer = [(k, ends[at].tolist()) for k, at in ((1, pause), (2, space)) if at is not None] + [(3, ends.tolist())]
+        return self._softer
+
+
+def _cuts(text: _Places, most: int, overlap: int) -> list[tuple[int, int, int, float, float]]:
+    total, pieces, begin, done = text.total, [], 0, 0
+    gaps, sums, edges, depth = text.gaps, text.sums, text.edges, text.depth
     while total - begin > most:
         limit = begin + most
         after = begin + 1  # the next piece must begin at a later character, with its overlap
-        while between[after] != after:
+        while edges[after] != after:
             after += 1
         low = max(done, after + overlap - 1)
-        a, b = gaps.searchsorted((low, limit), "right").tolist()
+        a, b = bisect_right(gaps, low), bisect_right(gaps, limit)
         if b > a:
             at = b - 1 - int(depth[a:b][::-1].argmax())
-            cut, how = int(gaps[at]), (0, float(depth[at]), (sums[b] - sums[a]) / (b - a))
+            cut, how = gaps[at], (0, float(depth[at]), (sums[b] - sums[a]) / (b - a))
         else:
-            for kind, places in softer:
-                at = int(places.searchsorted(limit, "right")) - 1
+            for kind, places in text.softer():
+                at = bisect_right(places, limit) - 1
                 if at >= 0 and places[at] > (max(low, begin + most // 2) if kind == 1 else low):
-                    cut, how = int(places[at]), (kind, np.nan, np.nan)
+                    cut, how = places[at], (kind, np.nan, np.nan)
                     break
             else:
-                cut, how = int(between[limit]), (4, np.nan, np.nan)
+                cut, how = edges[limit], (4, np.nan, np.nan)
                 if cut <= low:  # one character is longer than the room left: it stays whole
                     cut = limit
         pieces.append((begin, cut, *how))
         done = cut
-        begin = max(int(between[max(cut - overlap, 0)]), begin + 1)
-        if begin < done and total - begin > most and between[begin] != begin:
+        begin = max(edges[max(cut - overlap, 0)], begin + 1)
+        if begin < done and total - begin > most and edges[begin] != begin:
             begin = done
     pieces.append((begin, total, 5, np.nan, np.nan))
     return pieces
@@ -198,38 +229,54 @@ class Splitter:
         bounds = np.append(0, np.cumsum(counts))
         least = min(m for _, m, _ in self.limits)
         totals = np.diff(np.append(0, np.cumsum(e.count[codes]))[bounds])
-        for i in np.flatnonzero(totals > least).tolist():
-            own = codes[bounds[i] : bounds[i + 1]]
-            ends, tokens = np.cumsum(e.count[own]), e.tokens_of(own)
-            chars = np.append(0, np.cumsum(self.lead[tokens]))  # characters before each token position
-            place = np.arange(len(tokens) + 1)
-            starts_char = np.append(~self.inside[tokens], True)
-            between = np.maximum.accumulate(np.where(starts_char, place, 0))
-            # a unit ends with a sentence's last word or a line end, after all white space that follows
-            blank, last = w.blank[own], len(own) - 1
-            # the last stop of e.g. or U.S. ends none
-            short = w.dot[own]
-            short[3:] &= w.letter[own[2:-1]] & ~w.open[own[2:-1]] & w.dot[own[1:-2]] & w.letter[own[:-3]]
-            short[:3] = False
-            opens = np.append(w.open[own[1:]], True)
-            closes = w.stop[own] | w.line[own] | (w.spaced[own] & ~short & opens)
-            tail = np.append(blank[1:], False)  # white space follows: the gap moves behind it
-            run_end = np.flatnonzero(~tail)
-            moved = np.unique(run_end[np.searchsorted(run_end, np.flatnonzero(closes))])
-            unit = moved[moved < last]
-            pause, space = np.flatnonzero(w.pause[own] & ~np.append(w.digit[own[1:]], False)), np.flatnonzero(opens | blank)
-            depth = np.zeros(len(unit))
-            if len(unit):
-                belongs = np.searchsorted(unit, np.arange(len(own)), side="left")
-                first, size = w.first[own], w.first[own + 1] - w.first[own]
-                at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-                depth = gap_depths(np.repeat(belongs, size), w.term[at], len(unit) + 1)
+        chosen = np.flatnonzero(totals > least)
+        if not len(chosen):
+            return
+        # all chosen texts in a row, word by word; what looks at a neighbour stops at a text's ends
+        sizes = np.diff(bounds)[chosen]
+        begins = np.append(0, np.cumsum(sizes))
+        text = np.repeat(np.arange(len(chosen)), sizes)
+        own = codes[np.arange(begins[-1]) + (bounds[chosen] - begins[:-1])[text]]
+        last = np.zeros(len(own), bool)
+        last[begins[1:] - 1] = True
+        following = np.append(own[1:], own[-1])
+        opens, digit = w.open[following] | last, w.digit[following] & ~last
+        # a unit ends with a sentence's last word or a line end, after all white space that follows
+        blank = w.blank[own]
+        # the last stop of e.g. or U.S. ends none
+        short = w.dot[own]
+        short[3:] &= w.letter[own[2:-1]] & ~w.open[own[2:-1]] & w.dot[own[1:-2]] & w.letter[own[:-3]] & (text[3:] == text[:-3])
+        short[:3] = False
+        closes = w.stop[own] | w.line[own] | (w.spaced[own] & ~short & opens)
+        tail = np.append(blank[1:], False) & ~last  # white space follows: the gap moves behind it
+        run_end = np.flatnonzero(~tail)
+        moved = np.unique(run_end[np.searchsorted(run_end, np.flatnonzero(closes))])
+        unit = moved[~last[moved]]
+        pause, space = np.flatnonzero(w.pause[own] & ~digit), np.flatnonzero(opens | blank)
+        depth = np.zeros(len(unit))
+        if len(unit):
+            apart = 2 * SIDE * text
+            belongs = np.searchsorted(unit, np.arange(len(own)), side="left") + apart
+            first, size = w.first[own], w.first[own + 1] - w.first[own]
+            at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+            depth = _depths(np.repeat(belongs, size), w.term[at], int(belongs[-1]) + 1, np.arange(1, len(unit) + 1) + apart[unit], text[unit])
+        ends, tokens = np.append(0, np.cumsum(e.count[own])), e.tokens_of(own)
+        chars = np.append(0, np.cumsum(self.lead[tokens]))  # characters before each token position
+        between = np.maximum.accumulate(np.where(np.append(~self.inside[tokens], True), np.arange(len(tokens) + 1), 0))
+        parts = [np.searchsorted(x, begins).tolist() for x in (unit, pause, space)]
+        for t, i in enumerate(chosen.tolist()):
+            lo, hi = int(begins[t]), int(begins[t + 1])
+            base, top = int(ends[lo]), int(ends[hi])
+            of_unit, of_pause, of_space = (x[p[t] : p[t + 1]] - lo for x, p in zip((unit, pause, space), parts, strict=True))
+            places = _Places(ends[lo + 1 : hi + 1] - base, of_unit, depth[parts[0][t] : parts[0][t + 1]], between[base : top + 1] - base, of_pause, of_space)
+            place = chars[base : top + 1] - chars[base]
             for k, (_, most, overlap) in enumerate(self.limits):
                 if totals[i] <= most:
                     continue
-                before = 0
-                for number, (a, b, *how) in enumerate(cut_points(ends, unit, depth, most, overlap, between, pause, space), 1):
-                    yield i, k, number, chars[a], chars[b], b - a, max(0, before - a), *how
+                before, cuts = 0, _cuts(places, most, overlap)
+                first, end = place[[c[0] for c in cuts]].tolist(), place[[c[1] for c in cuts]].tolist()
+                for n, (a, b, kind, deep, usual) in enumerate(cuts):
+                    yield i, k, n + 1, first[n], end[n], b - a, max(0, before - a), kind, deep, usual
                     before = b
 
 
