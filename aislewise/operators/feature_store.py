@@ -153,6 +153,11 @@ class FeatureStore:
 
     # ---- features
 
+    def stored(self, rows: DataFrame) -> DataFrame:
+        """The partial aggregates of all buckets, not merged; of an empty store, none with the columns that `rows` would give."""
+        folders = [f"{self.path}/{folder}" for _, _, folder in self.manifest().values()]
+        return self.spark.read.parquet(*folders) if folders else self._partials(rows.limit(0))
+
     def merged(self, rows: DataFrame | None = None, since: str | None = None, until: str | None = None) -> DataFrame:
         """(entity, *types, n, total, first, last) over all events, or over the days from `since` to `until`.
 

@@ -94,17 +94,18 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _customers(spark, sf_dir).join(redeemed.where("n >= 2"), "number").join(bought, "customer_id", "left_anti").select("customer_id")
 
 
-def _types(partials: DataFrame, column: str) -> dict[str, str]:
-    """The types of a column in the data, with a name for each; an error beyond MAX_TYPES, which no table has columns for."""
-    found = sorted(r[0] for r in partials.select(column).where(F.col(column).isNotNull()).distinct().limit(MAX_TYPES + 1).collect())
+def _types(partials: DataFrame, *columns: str) -> list[dict[str, str]]:
+    """The types of each column in the data, with a name for each; an error beyond MAX_TYPES, which no table has columns for."""
+    entries = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(c).alias("t")) for i, c in enumerate(columns)))).alias("e")
+    found = partials.select(entries).select("e.*").where("t IS NOT NULL").distinct().limit(MAX_TYPES + 1).collect()
     if len(found) > MAX_TYPES:
-        raise ValueError(f"more than {MAX_TYPES} types of {column}; group them first")
-    names: dict[str, str] = {}
-    for kind in found:
+        raise ValueError(f"more than {MAX_TYPES} types; group them first")
+    names: list[dict[str, str]] = [{} for _ in columns]
+    for i, kind in sorted(found):
         name = _name(kind)
-        while name in names.values():
+        while name in names[i].values():
             name += "_"
-        names[kind] = name
+        names[i][kind] = name
     return names
 
 
@@ -112,7 +113,7 @@ def _features(people: DataFrame, bought: DataFrame, clipped: DataFrame, all_clip
     """One row per customer from merged partial aggregates, with columns for each type of clip in `all_clipped`."""
     day = F.lit(as_of).cast("date")
     t = bought.select(F.col("entity").alias("customer_id"), F.col("n").alias("purchases"), F.col("total").alias("spent_cents"), F.datediff(day, "last").alias("days_since_purchase"))
-    discounts, categories = _types(all_clipped, "discount_type"), _types(all_clipped, "category")
+    discounts, categories = _types(all_clipped, "discount_type", "category")
 
     def count(condition: Column, name: str) -> Column:
         return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0)).alias(name)
@@ -134,8 +135,8 @@ def p5_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features over all events, as of the end of 2024."""
     bought = _bought(spark, sf_dir).merged(_transactions(spark, sf_dir))
     clips = _clips(spark, sf_dir)
-    clipped = _store(spark, sf_dir, "clips", CLIP, ["coupon_clips", "products"], clips).merged(clips)
-    return _features(_customers(spark, sf_dir), bought, clipped, clipped, "2024-12-31")
+    store = _store(spark, sf_dir, "clips", CLIP, ["coupon_clips", "products"], clips)
+    return _features(_customers(spark, sf_dir), bought, store.merged(clips), store.stored(clips), "2024-12-31")
 
 
 def p5_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +145,7 @@ def p5_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _store(spark, sf_dir, "transactions_twice", TXN, ["transactions"], bought.where("date < DATE '2024-07-01'"), bought)
     b = _store(spark, sf_dir, "clips_twice", CLIP, ["coupon_clips", "products"], clipped.where("clip_date < DATE '2024-07-01'"), clipped)
     period = "2024-10-15", "2024-12-20"
-    return _features(_customers(spark, sf_dir), a.merged(bought, *period), b.merged(clipped, *period), b.merged(clipped), "2024-12-20")
+    return _features(_customers(spark, sf_dir), a.merged(bought, *period), b.merged(clipped, *period), b.stored(clipped), "2024-12-20")
 
 
 def _trailing(spark: SparkSession, sf_dir: str, windows: list[int], above: dict[int, int] | None = None) -> DataFrame:

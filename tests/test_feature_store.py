@@ -115,7 +115,7 @@ def test_persistent_queries(spark, tmp_path):
 
 def test_types_from_the_data(spark):
     rows = spark.createDataFrame([("a b",), ("a-b",), ("Zeta",), (None,), ("!",)], "kind string")
-    assert large_tables._types(rows, "kind") == {"!": "blank", "Zeta": "zeta", "a b": "a_b", "a-b": "a_b_"}
+    assert large_tables._types(rows, "kind") == [{"!": "blank", "Zeta": "zeta", "a b": "a_b", "a-b": "a_b_"}]
 
 
 def test_clean_number(spark):
